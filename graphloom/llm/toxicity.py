@@ -135,7 +135,7 @@ def _features(b: pa.RecordBatch):
         t, doc = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32) * 4
         col = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(t.tobytes())])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("y").slice(i, j - i), col], ["doc_id", "y", "terms"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "y", "th")), col], ["doc_id", "y", "th", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, fold: int = 1, max_train: int = MAX_TRAIN) -> FactorizationMachine:
@@ -144,9 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, max_train / max(n, 1)) * (1 << 20)))
-    rows = C.arrow_map(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), _features, "doc_id long, y int, terms binary")  # max_train rows
-    rows = rows.dropDuplicates(["terms"]).toArrow()
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(known), "doc_id")  # about max_train rows
+    rows = C.arrow_map(text, _features, "doc_id long, y int, th long, terms binary").toArrow()
     rows = rows.sort_by("doc_id")
+    if len(rows):  # a text counts once, however often it is copied
+        key = np.stack([np.asarray(rows.column("th").combine_chunks()), np.asarray(rows.column("y").combine_chunks()).astype(np.int64)], 1)
+        rows = rows.take(pa.array(np.sort(np.unique(key, axis=0, return_index=True)[1])))
     y = np.asarray(rows.column("y").combine_chunks(), dtype=float) if len(rows) else np.zeros(0)
     flat, off = C.text_view(rows.column("terms")) if len(rows) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
     t = flat.view(np.uint32)
