@@ -6,8 +6,10 @@ toward the pooled one and toward a diagonal.  The score is the posterior of
 class 1 from the difference of the two Mahalanobis log densities, computed with
 cached Cholesky factors.
 
-The class sums are gathered over all labelled training rows; per task only a
-count, a sum vector and a sum of products reach the driver.
+Texts are read once: their statistics, a few numbers a document, are written
+down, joined with the labels for the fit, and scored.  The class sums are
+gathered over all labelled training rows; per task only a count, a sum vector
+and a sum of products reach the driver.
 """
 
 from __future__ import annotations
@@ -130,9 +132,24 @@ def _by_slices(b: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([statistics(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in C.slices(offsets)])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Discriminant:
-    """From all labelled rows outside the held-out fold."""
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) for every row of ``docs``, written to the shared folder."""
     C.prepare(docs.sparkSession)
+
+    def kernel(b: pa.RecordBatch):
+        x = _by_slices(b)
+        flat = pa.array(x.reshape(-1))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)], ["doc_id", "x"])
+
+    return C.cut(C.arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, x array<double>"))
+
+
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(b.column("x").flatten()).reshape(b.num_rows, len(NAMES))
+
+
+def train(stats: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Discriminant:
+    """From the statistics of all labelled rows outside the held-out fold."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold)).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
     p = len(NAMES)
 
@@ -140,13 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) ->
         acc = np.zeros((2, 1 + p + p * p))
         for b in batches:
             if b.num_rows:
-                x, y = _by_slices(b), np.asarray(b.column("y"))
+                x, y = _matrix(b), np.asarray(b.column("y"))
                 for k in (0, 1):
                     z = x[y == k]
                     acc[k] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).reshape(-1)])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(acc))], ["k", "s"])
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").mapInArrow(sums, "k int, s array<double>").collect()
+    rows = stats.join(known, "doc_id").mapInArrow(sums, "k int, s array<double>").collect()
     acc = np.zeros((2, 1 + p + p * p))
     for r in rows:  # two short rows from each task
         acc[r.k] += np.array(r.s)
@@ -159,10 +176,11 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, t
     Null texts count as empty, extra columns are ignored, repeated rows get equal
     scores.  With fewer than two training rows of a class every score is 0.5.
     """
-    model = train(docs, labels, folds, fold)
+    stats = document_statistics(docs)
+    model = train(stats, labels, folds, fold)
 
     def kernel(b: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(_by_slices(b)))], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(_matrix(b)))], ["doc_id", "score"])
 
-    out = C.arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, score double")
+    out = C.arrow_map(stats, kernel, "doc_id long, score double")
     return out.select("doc_id", held_out(folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
