@@ -6,6 +6,8 @@ an Arrow batch together with the document offsets, in slices of bounded size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -14,10 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel looks at together (one document may exceed it).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows and bytes that Spark hands to a Python worker at a time: bounds its memory.
 ROWS_PER_BATCH = 2048
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+
+_libc = None
+with contextlib.suppress(OSError, AttributeError):  # not everywhere
+    # Workers are reused: give large buffers back at once instead of keeping them in the heap.
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trim() -> None:
+    """Return freed memory to the system; called when a task's batches are over."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -194,5 +210,16 @@ def arrow_map(df: DataFrame, kernel, schema: str) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 yield from kernel(b)
+        trim()
 
     return df.mapInArrow(run, schema)
+
+
+def stream_map(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with ``run(batches) -> iterable of record batches``."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(whole, schema)

@@ -18,7 +18,9 @@ them whole and any store that Spark reads can hold them.
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,7 +34,11 @@ from .ordered import cut_points, partitions, range_number
 #: Tokens of a file, unless one document has more.
 FILE_TOKENS = 1 << 18
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: New words that go to the library in one call, and in one text of a call.
+CALL_WORDS, TEXT_WORDS = 2048, 64
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 1 << 20
 END = 1
 _DIR = 512
 
@@ -127,59 +133,105 @@ _ALPHA = C.byte_class(bytes(range(97, 123)))
 
 
 class WordEncoder:
-    """Ids of whole texts through the tokenizers library, one call per new word.
+    """Ids of whole texts through the tokenizers library, which sees each word once.
 
     Valid for tokenizers that lower-case, drop white space and never join across
     it, and that end a run of letters at ASCII punctuation: a text's ids are then
     those of its words, parted at white space and between an ASCII letter and the
     punctuation after it.  Texts with "<|", where special tokens may stand, go
-    to the library whole.
+    to the library whole.  New words of letters alone go to it many at a time,
+    as texts, if the vocabulary marks the ends of words.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads would each keep a heap
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self):
         self.number: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.first = np.zeros(1 << 16, np.int64)  # where each word's ids start; grows by doubling, as ids does
+        self.ids = np.zeros(1 << 18, np.uint32)
+
+    @staticmethod
+    def _letters(w: bytes) -> bool:
+        """Whether normalisation leaves a word as it is, one run of letters."""
+        if w.isalpha():
+            return True
+        t = w.decode()
+        return t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)
+
+    def _each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one by one, and how many each has."""
+        lens, flat = [], []
+        for k in range(0, len(words), CALL_WORDS):
+            for e in self.lib.encode_batch_fast([w.decode() for w in words[k : k + CALL_WORDS]], add_special_tokens=False):
+                ids = e.ids
+                lens.append(len(ids))
+                flat += ids
+        return np.array(flat, np.uint32), np.array(lens, np.int64)
+
+    def _joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, by the ends of words in the ids of joined texts."""
+        flat = []
+        texts = [b" ".join(words[k : k + TEXT_WORDS]).decode() for k in range(0, len(words), TEXT_WORDS)]
+        for k in range(0, len(texts), CALL_WORDS // TEXT_WORDS):
+            for e in self.lib.encode_batch_fast(texts[k : k + CALL_WORDS // TEXT_WORDS], add_special_tokens=False):
+                flat += e.ids
+        ids = np.array(flat, np.uint32)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or (len(ids) and at[-1] != len(ids)):
+            return self._each(words)
+        return ids, np.diff(at, prepend=0)
 
     def _learn(self, new: list[bytes]) -> None:
-        got = self.lib.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        lens = np.array([len(e.ids) for e in got], np.int64)
-        for w in new:
-            self.number[w] = len(self.number)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lens)])
-        self.ids = np.concatenate([self.ids, np.array([i for e in got for i in e.ids], np.uint32)])
+        plain = [w for w in new if self._letters(w)] if self.ends.any() else []
+        known = set(plain)
+        parts = [(plain, self._joined), ([w for w in new if w not in known], self._each)]
+        for words, how in parts:
+            if words:
+                ids, lens = how(words)
+                n, at = len(self.number), int(self.first[len(self.number)])
+                self.number.update(zip(words, range(n, n + len(words)), strict=True))
+                while n + len(words) + 1 > len(self.first):
+                    self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+                while at + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                self.first[n + 1 : n + 1 + len(words)] = at + np.cumsum(lens)
+                self.ids[at : at + len(ids)] = ids
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         low = C.LOWER[raw]
         whole = [d for d in range(len(off) - 1) if b"<|" in raw[off[d] : off[d + 1]].tobytes()] if b"<|" in raw.tobytes() else []
-        at = np.flatnonzero(_ALPHA[low[:-1]] & _PUNCT[low[1:]]) + 1 if len(low) > 1 else np.zeros(0, np.int64)
-        text = np.insert(low, at, 32)
-        ends = off + np.searchsorted(at, off)
-        words, count = [], np.zeros(len(off) - 1, np.int64)
-        data = text.tobytes()
-        for d in range(len(off) - 1):
-            w = data[ends[d] : ends[d + 1]].split()
-            count[d] = len(w)
-            words += w
+        inside = C.SPACE_WORD[low]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | (_ALPHA[low[:-1]] & _PUNCT[low[1:]])
+        heads = off[:-1][off[:-1] < off[1:]]
+        start[heads] = inside[heads]
+        at = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside)).astype(np.int32)
+        parts = [None, pa.py_buffer(at), pa.py_buffer(low[inside])]
+        coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, parts).dictionary_encode()  # no Python object for each word
         if len(self.number) > CACHE_WORDS:
             self._reset()
-        number = self.number
-        new = [w for w in dict.fromkeys(words) if w not in number]
+        once = coded.dictionary.to_pylist()
+        known = list(map(self.number.get, once))
+        new = [w for w, k in zip(once, known, strict=True) if k is None]
         if new:
             self._learn(new)
-        k = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            known = list(map(self.number.get, once))
+        k = np.array(known, np.int64)[np.asarray(coded.indices)]
         n = self.first[k + 1] - self.first[k]
         total = np.concatenate([[0], np.cumsum(n)])
         out = self.ids[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(self.first[k], n)]
-        bound = np.concatenate([[0], np.cumsum(count)])
+        bound = np.searchsorted(np.flatnonzero(start), off)
         lens = total[bound[1:]] - total[bound[:-1]]
         if whole:
             parts = np.split(out, np.cumsum(lens)[:-1])
@@ -212,7 +264,7 @@ def _writer(path: str, file_tokens: int, end: int):
                 continue
             pids = np.asarray(b.column("pid"))
             raw, offsets = C.text_view(b.column("text"))
-            for i, j in C.slices(offsets):
+            for i, j in C.slices(offsets, TEXT_BYTES):
                 got, n = enc.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ends = np.cumsum(n)
                 got = np.insert(got, ends, end)
@@ -246,7 +298,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     cuts = cut_points(docs, partitions(docs))
     d = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), range_number(F.col("doc_id"), cuts).alias("pid"))
     d = d.repartitionById(len(cuts) + 1, F.col("pid")).sortWithinPartitions("pid", "doc_id", "th").select("doc_id", "text", "pid")
-    files = d.mapInArrow(_writer(tokenizer, file_tokens, end), "pid int, seq long, n long, file binary")
+    files = C.stream_map(d, _writer(tokenizer, file_tokens, end), "pid int, seq long, n long, file binary")
     if path is None:
         return C.cut(files)
     files.write.parquet(path)
@@ -274,4 +326,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(f.document(k).astype("<u4").tobytes()) for k in range(len(n))]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids), pa.array(f.starts[:-1] + first), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(at, ["pid", "seq"]).select("file", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return C.stream_map(files.join(at, ["pid", "seq"]).select("file", "at"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
