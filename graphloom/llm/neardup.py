@@ -7,9 +7,15 @@
 3. 32 bands of four rows make buckets.  A pair at similarity 0.75 misses all
    buckets with probability 5e-6.  Members are first checked against the
    smallest and the largest member of their bucket: a number of pairs linear in
-   the bucket.  Verified links are joined into components.
-4. Buckets that still hold several components are searched in blocks for pairs
-   across components, so that no link between different texts is lost.
+   the bucket.  Verified links are joined into components.  In buckets that
+   still hold several components, members are then checked against a member
+   picked by hash, if it lies in another component.
+4. For buckets that still hold several components, the largest one (the hub) is
+   dealt into blocks, to which the members of its other components are sent;
+   those also meet each other by bucket, in blocks of pairs.  Signatures tell
+   which members of a block may have a link; their sets are then compared in the
+   block, and of its links only those that join components leave it.  So no link
+   between different texts is lost, and no task lists all pairs of a group.
 5. Links are confirmed on full sets, by 100 * |A and B| >= 75 * |A or B|.
 
 A signature that agrees in under half of its rows cannot belong to a pair at
@@ -30,6 +36,8 @@ ROWS, BANDS = 128, 32
 SHINGLE = 5
 #: Least number of agreeing signature rows of a pair that is checked on full sets.
 LEAST_AGREE = 66
+#: Rounds of checks against members picked by hash.
+ROUNDS = 1
 #: Members of a bucket that are compared in one task.
 BLOCK = 512
 #: Shingles whose permutation states are held at a time.
@@ -170,25 +178,70 @@ def _confirm(b: pa.RecordBatch):
     yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _across(t: pa.Table) -> pa.Table:
-    """Pairs of a block of a bucket that lie in different components.
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of side 0 meet rows of side 1; a block of one side alone meets itself."""
+    side = np.asarray(t.column("side").combine_chunks())
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return (left if len(left) else right), (right if len(right) else left)
 
-    Rows of kind 0 meet rows of kind 1; a block of kind-1 rows alone meets itself.
-    """
-    ids = np.asarray(t.column("id").combine_chunks())
+
+def _promising(t: pa.Table) -> pa.Table:
+    """Rows of a block that agree in enough of the signature with a row of another component."""
     comp = np.asarray(t.column("comp").combine_chunks())
-    side = np.asarray(t.column("side").combine_chunks())
     sig = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(-1, BANDS).view("<u2")
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    left = left if len(left) else right
-    out_a, out_b = [], []
+    left, right = _sides(t)
+    keep = np.zeros(t.num_rows, bool)
     for i in left:
-        n = (sig[right] == sig[i]).sum(1)
-        hit = right[(n >= LEAST_AGREE) & (comp[right] != comp[i])]
-        out_a.append(np.minimum(ids[hit], ids[i]))
-        out_b.append(np.maximum(ids[hit], ids[i]))
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+        hit = right[((sig[right] == sig[i]).sum(1) >= LEAST_AGREE) & (comp[right] != comp[i])]
+        if len(hit):
+            keep[i] = True
+            keep[hit] = True
+    return t.select(["g1", "g2", "x", "y", "id", "comp", "side"]).filter(pa.array(keep))
+
+
+def _joining(t: pa.Table) -> pa.Table:
+    """Links of a block across components, as many as join its components.
+
+    Intersections are products of 0/1 rows over the shingles that several rows
+    have, in slices of columns.
+    """
+    ids = np.asarray(t.column("id").combine_chunks())
+    comp = np.asarray(t.column("comp").combine_chunks())
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("grams").combine_chunks()]
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    on = shared[col]
+    row, col = row[on], number[col[on]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = _sides(t)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for s in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(col, [s, s + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[i:j], col[i:j] - s] = 1
+        both += part[left] @ part[right].T
+    both = both.astype(np.int64)
+    hit = (100 * both >= 75 * (size[left][:, None] + size[right][None] - both)) & (comp[left][:, None] != comp[right][None])
+    parent = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        u, v = find(int(comp[left[i]])), find(int(comp[right[j]]))
+        if u != v:
+            parent[u] = v
+            a.append(int(min(ids[left[i]], ids[right[j]])))
+            b.append(int(max(ids[left[i]], ids[right[j]])))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,7 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     C.prepare(spark)
     src = docs.select("doc_id", "text")
     gone: list[str] = []
-    sketch = C.cut(src.mapInArrow(lambda it: (x for b in it if b.num_rows for x in _sketch(b)), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
+    sketch = C.cut(C.arrow_map(src, _sketch, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
     reps = full.join(classes.select(F.col("id").alias("doc_id"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), "doc_id", "left_semi")
@@ -215,22 +268,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = members.select("id").distinct().join(reps, "id")
     sets = C.cut(
-        src.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"])
-        .mapInArrow(lambda it: (x for b in it if b.num_rows for x in _sets(b)), "id long, keys array<long>, grams binary"), gone,
-    )
+        C.arrow_map(src.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"]), _sets, "id long, keys array<long>, grams binary"), gone
+    )
 
     first = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(
         members.where("id <> last").select(F.col("id").alias("a"), F.col("last").alias("b"))
     ).distinct()
     links = C.cut(_verify(first, sets), gone)
-    found = C.cut(connected_components(links, "a", "b", gone), gone)
-
-    rest = C.cut(_verify(_open_pairs(members, found, reps), sets), gone)
-    if rest.isEmpty():
-        final = found
-    else:
-        final = C.cut(connected_components(links.union(rest), "a", "b", gone))
-    final = C.cut(final) if final is found else final
+    found = connected_components(links, "a", "b", gone)
+    state = C.cut(wanted.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp")), gone)
+    for k in range(ROUNDS):
+        state, more = _merged(state, C.cut(_verify(_picked_pairs(members, state, k), sets), gone), gone)
+        if not more:
+            break
+    state, _ = _merged(state, C.cut(_block_links(members, state, sets, gone), gone), gone)
+    final = state.select("id", F.col("comp").alias("component"))
     member = classes.join(final, "id", "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "id").alias("comp")
     )
@@ -244,50 +296,67 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are near duplicates."""
-    run = lambda f: lambda it: (x for b in it if b.num_rows for x in f(b))
-    k = sets.select("id", "keys")
-    near = (
-        pairs.join(k.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a")
-        .join(k.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
-        .select("a", "b", "ka", "kb")
-        .mapInArrow(run(_agree), "a long, b long")
-    )
-    g = sets.select("id", "grams")
-    return (
-        near.join(g.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(g.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        .select("a", "b", "ga", "gb")
-        .mapInArrow(run(_confirm), "a long, b long")
+    k, g = sets.select("id", "keys"), sets.select("id", "grams")
+    near = pairs.join(k.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a").join(k.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
+    near = C.arrow_map(near.select("a", "b", "ka", "kb"), _agree, "a long, b long")
+    full = near.join(g.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    return C.arrow_map(full.select("a", "b", "ga", "gb"), _confirm, "a long, b long")
+
+
+def _merged(state: DataFrame, links: DataFrame, gone: list[str]) -> tuple[DataFrame, bool]:
+    """Components after more links, and whether there were any.  Only components that meet are joined anew."""
+    if links.isEmpty():
+        return state, False
+    ends = links.join(state.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(state.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    renamed = connected_components(ends.select("ca", "cb").distinct(), "ca", "cb", gone)
+    out = state.join(renamed.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
+    return C.cut(out, gone), True
+
+
+def _picked_pairs(members: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """Members with a member of their bucket, picked by hash, that lies in another component."""
+    m = members.select("band", "key", "id").join(state, "id")
+    pick = F.min(F.struct(F.xxhash64("id", "band", F.lit(k)), "id", "comp")).alias("p")
+    heads = m.groupBy("band", "key").agg(pick, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    j = m.join(heads.select("band", "key", F.col("p.id").alias("lead"), F.col("p.comp").alias("main")), ["band", "key"]).where("comp <> main")
+    return j.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def _block_links(members: DataFrame, state: DataFrame, sets: DataFrame, gone: list[str]) -> DataFrame:
+    """Links across components in buckets that hold several, enough to join what they join."""
+    m = members.select("band", "key", "id").join(state, "id")
+    by = m.groupBy("band", "key", "comp").agg(F.count("*").alias("n")).groupBy("band", "key")
+    by = by.agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    outs = C.cut(m.join(by, ["band", "key"]).where("comp <> main").select("band", "key", "id", "comp", "main", "comps"), gone)
+    split = lambda n, b: F.pmod(F.xxhash64("id"), F.col(b)).alias(n)
+    to_all = lambda b, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(b) - 1)).alias(n)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+
+    others = outs.select("main", "id", "comp").distinct()
+    hub = state.join(others.select(F.col("main").alias("comp")).distinct(), "comp", "left_semi").select(F.col("comp").alias("main"), "id")
+    size = hub.groupBy("main").agg(F.count("*").alias("n")).join(others.groupBy("main").agg(F.count("*").alias("o")), "main")
+    size = size.select("main", blocks("n").alias("bx"), blocks("o").alias("by"))
+    of_hub = lambda df, side, x, y: df.join(size, "main").select(
+        F.col("main").alias("g1"), F.lit(-1).cast("long").alias("g2"), x, y, "id", "comp", F.lit(side).alias("side")
     )
-
-
-def _open_pairs(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs across components in buckets that hold more than one component.
-
-    Members in the lead's component are dealt to blocks; the others are sent to
-    every block, and meet each other in blocks of pairs.
-    """
-    m = members.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    by = m.groupBy("band", "key").agg(
-        F.min_by("comp", "id").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    ).where("lo < hi")
-    m = m.join(by.select("band", "key", "main"), ["band", "key"])
-    counts = m.groupBy("band", "key").agg(F.sum(F.expr("int(comp = main)")).alias("n_in"), F.sum(F.expr("int(comp <> main)")).alias("n_out"))
-    m = (
-        m.select("band", "key", "id", "comp", "main").join(counts, ["band", "key"])
-        .withColumn("bi", F.ceil(F.col("n_in") / BLOCK)).withColumn("bo", F.ceil(F.col("n_out") / BLOCK))
-        .withColumn("inside", F.col("comp") == F.col("main"))
-        .withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("bi")).otherwise(F.col("bo"))))
-    )
-    # (x, y, side): block x of the inside with block y of the outside, or -1-x and y both outside
-    ins = m.where("inside").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bo") - 1))).select("band", "key", F.col("mine").alias("x"), "y", "id", "comp", F.lit(0).alias("side"))
-    outs = m.where("not inside").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bi") - 1))).select("band", "key", "x", F.col("mine").alias("y"), "id", "comp", F.lit(1).alias("side"))
-    own = m.where("not inside and n_out > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("bo") - 1))).select(
-        "band", "key", (-1 - F.least("mine", "o")).alias("x"), F.greatest("mine", "o").alias("y"), "id", "comp",
-        F.when(F.col("mine") == F.col("o"), F.lit(1)).when(F.col("mine") < F.col("o"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
-    )
-    rows = ins.unionByName(outs).unionByName(own).join(reps, "id")
-    return rows.groupBy("band", "key", "x", "y").applyInArrow(_across, "a long, b long").distinct()
+    rows = of_hub(hub.withColumn("comp", F.col("main")), 0, split("x", "bx"), to_all("by", "y"))
+    rows = rows.unionByName(of_hub(others, 1, to_all("bx", "x"), split("y", "by")))
+
+    many = outs.where("comps > 2")
+    size = many.groupBy("band", "key").agg(blocks_of(F.count("*")).alias("b"))
+    pair = many.join(size, ["band", "key"]).select("band", "key", "id", "comp", split("p", "b"), to_all("b", "q"))
+    rows = rows.unionByName(pair.select(
+        F.col("band").cast("long").alias("g1"), F.col("key").alias("g2"), (-1 - F.least("p", "q")).alias("x"), F.greatest("p", "q").alias("y"), "id", "comp",
+        F.when(F.col("p") < F.col("q"), 0).otherwise(1).alias("side"),
+    ))
+    keyed = "g1 long, g2 long, x long, y long, id long, comp long, side int"
+    near = rows.join(sets.select("id", "keys"), "id").groupBy("g1", "g2", "x", "y").applyInArrow(_promising, keyed)
+    near = C.cut(near, gone).join(sets.select("id", "grams"), "id")
+    return near.groupBy("g1", "g2", "x", "y").applyInArrow(_joining, "a long, b long").distinct()
+
+
+def blocks_of(n):
+    return F.ceil(n / BLOCK)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
