@@ -102,9 +102,18 @@ def balanced_by_key(edges: DataFrame, parts: int) -> DataFrame:
         at += per[k]
     w = Window.partitionBy("_block").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.join(F.broadcast(spark.createDataFrame(base, "_block int, _base long")), "_block").select("_key", (F.col("_base") + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_first"))
+    # an edge's rank within its key, through ranges of the other end, so that a key of very many edges is no single task
     attrs = [c for c in edges.columns if c not in ("src", "dst")]
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy("src", "dst", *attrs)) - 1
-    out = e.join(first, "_key").withColumn("pid", F.floor((F.col("_first") + rank) / size).cast("int"))
+    e = e.withColumn("_other", F.when(F.col("_key") == F.col("src"), F.col("dst")).otherwise(F.col("src")))
+    bounds = sorted({int(x) for x in e.select(F.col("_other").cast("double").alias("k")).approxQuantile("k", [i / 64 for i in range(1, 64)], 0.01)})
+    part = F.lit(0)
+    for k, b in enumerate(bounds):
+        part = F.when(F.col("_other") >= b, k + 1).otherwise(part)
+    e = e.withColumn("_part", part)
+    w = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows a key
+    before = e.groupBy("_key", "_part").agg(F.count("*").alias("_n")).select("_key", "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_key", "_part").orderBy("src", "dst", *attrs)) - 1
+    out = e.join(first, "_key").join(before, ["_key", "_part"]).withColumn("pid", F.floor((F.col("_first") + rank) / size).cast("int"))
     return out.select(*edges.columns, "pid")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,27 +69,72 @@ def ndcg_error(samples: DataFrame, gains: tuple[float, ...]) -> DataFrame:
     return d.join(ideal_dcg(samples, gains), "query").agg(F.avg(e).alias("error"))
 
 
-def derivatives(samples: DataFrame, c: Config) -> DataFrame:
+def _derivative_parts(a: pd.DataFrame, b: pd.DataFrame, sigma: float, same: bool) -> tuple[np.ndarray, ...]:
+    """Sums of lambda, weight and p * delta over the pairs of two blocks of a query, for both blocks' rows."""
+
+    def one(x, y):  # rows of x that win over rows of y
+        win = x["label"].to_numpy()[:, None] > y["label"].to_numpy()[None]
+        p = 2 / (1 + np.exp(np.minimum(2 * sigma * (x["score"].to_numpy()[:, None] - y["score"].to_numpy()[None]), 700)))
+        delta = (x["gain"].to_numpy()[:, None] - y["gain"].to_numpy()[None]) * np.abs(x["disc"].to_numpy()[:, None] - y["disc"].to_numpy()[None]) / x["idcg"].to_numpy()[:, None]
+        return np.where(win, p * delta, 0), np.where(win, p * (2 - p) * delta, 0)
+
+    l, w = one(a, b)
+    la, wa, pa_, lb, wb, pb = l.sum(1), w.sum(1), l.sum(1), -l.sum(0), w.sum(0), l.sum(0)
+    if not same:
+        l, w = one(b, a)
+        la, wa, pa_, lb, wb, pb = la - l.sum(0), wa + w.sum(0), pa_ + l.sum(0), lb + l.sum(1), wb + w.sum(1), pb + l.sum(1)
+    return la, wa, pa_, lb, wb, pb
+
+
+def derivatives(samples: DataFrame, c: Config, block: int = 1024, small: int = 64) -> DataFrame:
     """(query, doc, lambda, weight).
 
     Each pair of one query with label_i > label_j adds p * delta to i, takes it
     from j, and adds p (2 - p) delta to both weights; all of a query is scaled by
-    10 ln(1 + S) / S with S the sum of 2 p delta.  Pairs stay within a query;
-    queries of many documents are for ``derivatives_by_query``.
+    10 ln(1 + S) / S with S the sum of 2 p delta.  Queries of at most ``small``
+    documents join with themselves (at most small / 2 pairs a document).  Larger
+    ones meet in pairs of blocks, where pairs are summed as they are formed: a
+    row for each document leaves a pair of blocks.
     """
-    s = samples.withColumn("disc", discount(score_rank())).withColumn("gain", gain(F.col("label"), c.gains)).join(ideal_dcg(samples, c.gains), "query")
+    s = samples.withColumn("disc", discount(score_rank())).withColumn("gain", gain(F.col("label"), c.gains)).join(ideal_dcg(samples, c.gains), "query").where("idcg > 0")
+    s = s.join(samples.groupBy("query").agg(F.count("*").alias("n")), "query")
+    one = _joined_parts(s.where(F.col("n") <= small), c).unionByName(_blocked_parts(s.where(F.col("n") > small), samples, c, block))
+    total = one.groupBy("query").agg(F.sum("part").alias("S"))  # both ends of a pair have its p * delta
+    norm = F.when(F.col("S") > 0, F.log1p("S") * NORM_FACTOR / F.col("S")).otherwise(1.0)
+    got = one.join(total, "query").select("query", "doc", (F.col("l") * norm).alias("lambda"), (F.col("w") * norm).alias("weight"))
+    return samples.select("query", "doc").join(got, ["query", "doc"], "left").fillna(0.0, ["lambda", "weight"])
+
+
+def _joined_parts(s: DataFrame, c: Config) -> DataFrame:
+    """(query, doc, l, w, part) of small queries."""
     a = s.select("query", F.col("doc").alias("i"), F.col("label").alias("li"), F.col("score").alias("si"), F.col("disc").alias("di"), F.col("gain").alias("gi"), "idcg")
     b = s.select("query", F.col("doc").alias("j"), F.col("label").alias("lj"), F.col("score").alias("sj"), F.col("disc").alias("dj"), F.col("gain").alias("gj"))
-    pair = a.where("idcg > 0").join(b, "query").where("li > lj")
     p = F.lit(2.0) / (F.lit(1.0) + F.exp((F.col("si") - F.col("sj")) * (2 * c.sigma)))
     delta = (F.col("gi") - F.col("gj")) * F.abs(F.col("di") - F.col("dj")) / F.col("idcg")
-    pair = pair.select("query", "i", "j", p.alias("p"), delta.alias("delta")).withColumn("l", F.col("p") * F.col("delta")).withColumn("w", F.col("p") * (F.lit(2.0) - F.col("p")) * F.col("delta"))
+    pair = a.join(b, "query").where("li > lj").select("query", "i", "j", (p * delta).alias("l"), (p * (F.lit(2.0) - p) * delta).alias("w"))
     ends = F.explode(F.array(F.struct(F.col("i").alias("doc"), F.col("l").alias("l")), F.struct(F.col("j").alias("doc"), (-F.col("l")).alias("l")))).alias("e")
-    one = pair.select("query", ends, "w", F.col("l").alias("one")).groupBy("query", "e.doc").agg(F.sum("e.l").alias("l"), F.sum("w").alias("w"), F.sum("one").alias("part"))
-    total = one.groupBy("query").agg(F.sum("part").alias("S"))  # both ends of a pair have its l: the sum is that of 2 p delta
-    norm = F.when(F.col("S") > 0, F.log1p("S") * NORM_FACTOR / F.col("S")).otherwise(1.0)
-    got = one.join(total, "query").select("query", "doc", (F.col("l") * norm).alias("lambda"), (F.col("w") * norm).alias("weight"))
-    return samples.select("query", "doc").join(got, ["query", "doc"], "left").fillna(0.0, ["lambda", "weight"])
+    return pair.select("query", ends, "w", F.col("l").alias("part")).groupBy("query", "e.doc").agg(F.sum("e.l").alias("l"), F.sum("w").alias("w"), F.sum("part").alias("part"))
+
+
+def _blocked_parts(s: DataFrame, samples: DataFrame, c: Config, block: int) -> DataFrame:
+    """(query, doc, l, w, part) of large queries."""
+    s = s.withColumn("b", F.ceil(F.col("n") / block)).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("b")))
+    s = s.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    s = s.select("query", "doc", "label", "score", "disc", "gain", "idcg", "mine", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"))
+    sigma = c.sigma
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        q, x, y = g["query"].iat[0], g["x"].iat[0], g["y"].iat[0]
+        a, b = g[g["mine"] == x], g[g["mine"] == y]
+        la, wa, p, lb, wb, pb = _derivative_parts(a, b, sigma, x == y)
+        if x == y:
+            return pd.DataFrame({"query": q, "doc": a["doc"].to_numpy(), "l": la + lb, "w": wa + wb, "part": p + pb})
+        both = [np.concatenate(t) for t in ((a["doc"], b["doc"]), (la, lb), (wa, wb), (p, pb))]
+        return pd.DataFrame({"query": q, "doc": both[0], "l": both[1], "w": both[2], "part": both[3]})
+
+    kind = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    parts = s.groupBy("query", "x", "y").applyInPandas(run, f"query {kind['query']}, doc {kind['doc']}, l double, w double, part double")
+    return parts.groupBy("query", "doc").agg(F.sum("l").alias("l"), F.sum("w").alias("w"), F.sum("part").alias("part"))
 
 
 def histograms(nodes: DataFrame, features: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ counts that are frozen at the sweep's start outside the token's block and live
 inside it, then recounts.  Blocks hold whole documents (or whole terms), so each
 is sampled sequentially, as its kernel demands, and blocks run in parallel.
 
-Blocks are formed by hash, so their size is bounded by the number of blocks;
-counts reach a block by joins: only the terms and documents in it.
+Blocks are formed by hash, so their size is bounded by the number of blocks.  A
+block counts its own side (its documents or its terms) from its tokens; sparse
+counts of the other side, only for what occurs in the block, are cogrouped in.
 """
 
 from __future__ import annotations
@@ -284,26 +285,46 @@ def sweep(tokens: DataFrame, c: Config, iteration: int, vocabulary: int, prior:
     nk = np.array([totals.get(t, 0) for t in range(c.topics)], np.int64)
     n = int(nk.sum())
     alpha = (nk + c.alpha_as) * (c.alpha * c.topics / (n + c.alpha_as * c.topics))
-    beta, vbeta, blocks, seed = c.beta, c.beta * vocabulary, c.blocks, c.seed
-    block = F.pmod(F.xxhash64(by), F.lit(blocks)).alias("block")
+    beta, vbeta, k, seed = c.beta, c.beta * vocabulary, c.topics, c.seed
+    block = F.pmod(F.xxhash64(by), F.lit(c.blocks)).alias("block")
     rows = tokens.select("doc", "term", "pos", "topic", block)
-    rows = rows.join(_as_array(nw, "term", "nw", c.topics, "aw"), "term").join(_as_array(doc_counts(tokens), "doc", "nd", c.topics, "ad"), "doc")
-
-    def sample(df: pd.DataFrame) -> pd.DataFrame:
+    other = "term" if by == "doc" else "doc"
+    far = (nw.withColumnRenamed("nw", "n") if by == "doc" else doc_counts(tokens).withColumnRenamed("nd", "n")).join(rows.select(other, "block").distinct(), other)
+    far = far.select("block", F.col(other).cast("string").alias("key"), "topic", "n", F.lit(0).alias("own"))
+    if prior is not None and by == "term":  # the older model's counts of the block's own terms
+        own = prior.join(rows.select("term", "block").distinct(), "term")
+        far = far.unionByName(own.select("block", F.col("term").cast("string").alias("key"), "topic", F.col("nw").alias("n"), F.lit(1).alias("own")))
+
+    def counted(keys: np.ndarray, df: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(keys), k), np.int64)
+        number = {str(x): i for i, x in enumerate(keys)}
+        if len(df):
+            np.add.at(out, (df["key"].map(number).to_numpy(np.int64), df["topic"].to_numpy(np.int64)), df["n"].to_numpy(np.int64))
+        return out
+
+    def sample(df: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(df):
+            return df[["doc", "term", "pos", "topic"]]
         df = df.sort_values(["doc", "term", "pos"], kind="stable").reset_index(drop=True)
         docs, d = np.unique(df["doc"].to_numpy(), return_inverse=True)
         terms, w = np.unique(df["term"].to_numpy(), return_inverse=True)
-        first_d = np.unique(d, return_index=True)[1]
-        first_w = np.unique(w, return_index=True)[1]
-        nd = np.array([np.asarray(df["ad"].iat[i]) for i in first_d], np.int64)
-        nwb = np.array([np.asarray(df["aw"].iat[i]) for i in first_w], np.int64)
+        z = df["topic"].to_numpy(np.int64).copy()
+        theirs, ours = counts[counts["own"] == 0], counts[counts["own"] == 1]
+        if by == "doc":
+            nd, nwb = np.zeros((len(docs), k), np.int64), counted(terms, theirs)
+            np.add.at(nd, (d, z), 1)
+        else:
+            nd, nwb = counted(docs, theirs), counted(terms, ours)
+            np.add.at(nwb, (w, z), 1)
         rng = np.random.default_rng([seed, iteration, int(df["block"].iat[0])])
-        b = Block(d, w, df["topic"].to_numpy(np.int64).copy(), nd, nwb, nk.copy(), alpha, beta, vbeta, rng)
+        b = Block(d, w, z, nd, nwb, nk.copy(), alpha, beta, vbeta, rng)
         run(b)
         return pd.DataFrame({"doc": df["doc"], "term": df["term"], "pos": df["pos"], "topic": b.topic.astype(np.int32)})
 
     kind = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
-    return rows.groupBy("block").applyInPandas(sample, f"doc {kind['doc']}, term {kind['term']}, pos {kind['pos']}, topic int")
+    # columns of their own names: the two sides come from the same tokens
+    far = far.select(*(F.col(x).alias(f"far_{x}") for x in far.columns)).toDF(*far.columns)
+    return rows.groupBy("block").cogroup(far.groupBy("block")).applyInPandas(sample, f"doc {kind['doc']}, term {kind['term']}, pos {kind['pos']}, topic int")
 
 
 def train(tokens: DataFrame, c: Config, iterations: int, prior: DataFrame | None = None, watch: Callable[[int, DataFrame], None] | None = None) -> DataFrame:

@@ -249,6 +249,14 @@ def test_lambdas_by_hand(spark):
     assert got[2, 0] == got[2, 1] == (0.0, 0.0)
 
 
+def test_large_queries_by_blocks(spark):
+    r = np.random.default_rng(6)
+    rows = [(q, d, int(r.integers(0, 3)), float(r.random())) for q in (1, 2) for d in range(40)]
+    s, c = spark.createDataFrame(rows, "query long, doc int, label int, score double"), RT.Config(gains=(0.0, 1.0, 3.0))
+    a, b = ({(x.query, x.doc): (x["lambda"], x.weight) for x in RT.derivatives(s, c, block, small).collect()} for block, small in ((7, 0), (7, 64)))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
 def test_boosting_predicts_what_it_learned(spark):
     r = np.random.default_rng(3)
     rows = [(q, d, int(r.integers(0, 3))) for q in range(30) for d in range(5)]
@@ -329,3 +337,22 @@ def test_readers(spark, tmp_path):
     assert views == (2, 5, 7) and x.count() == 6 and y.count() == 2
     persist.write_lines(lines("a", "b"), str(tmp_path / "t"), header="h")
     assert sorted(r.value for r in persist.read_lines(spark, str(tmp_path / "t"), "h").collect()) == ["a", "b"]
+
+
+# ------------------------------------------------------------ streams
+
+
+def test_incremental_training(spark, samples, tmp_path):
+    from graphloom.streaming.incremental import IncrementalFactors, IncrementalLogistic
+
+    x, y = samples
+    x.join(y, "sample").repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sample long, feature long, value double, label double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    m = IncrementalLogistic(LR.Config(iterations=3, step=0.5))
+    stream.writeStream.foreachBatch(m.step).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert m.batches == 2 and m.weights.count() == 12
+    start, end = (LR.loss(LR.margins(x, y, w)).first().loss for w in (LR.zero_weights(x), m.weights))
+    assert end < start
+    f = IncrementalFactors("fm", FM.Config(rank=2, iterations=2))
+    stream.writeStream.foreachBatch(f.step).option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
+    assert f.model.params.count() == 12
