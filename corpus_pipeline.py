@@ -36,8 +36,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; contaminated ones (two items or more) go."""
     ship(spark)
-    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("item_ids") < 2)
-    out = decontaminate.without_spans(found, docs.columns)
+    out = decontaminate.without_spans(docs, table(spark, sf_dir, "benchmark"), drop_from=2)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents of about half a million words.  Its words become
+A shard is a run of documents of about a quarter of a million words.  Its words become
 dense symbols; the suffix array of the symbols gives the Burrows-Wheeler
 transform, which is held as a wavelet matrix with rank directories.  Benchmark
 windows are searched backward, all at once; occurrences are located by walking
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 WINDOW = 8
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 SAMPLE = 16
 #: Benchmark text per broadcast block.
 BLOCK_BYTES = 8 << 20
@@ -194,8 +194,19 @@ def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _search(ids: list[str], pat, length, pairs, shard_words: int, width: int):
-    """Batches of (row, text) -> row, text, n_words, hits, item_ids."""
+def _cut(text: str | None, hits: list[dict]) -> str | None:
+    """A text without its hit spans."""
+    if not len(hits):
+        return text
+    raw, out, at = text.encode(), [], 0
+    for x in hits:
+        out.append(raw[at : x["byte_start"]])
+        at = x["byte_stop"]
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _search(ids: list[str], pat, length, pairs, shard_words: int, width: int, cut: bool):
+    """Batches of (row, text) -> row, text (without the hits, if ``cut``), n_words, hits, item_ids."""
     by_win = pairs[np.argsort(pairs[:, 0], kind="stable")]
     heads = np.searchsorted(by_win[:, 0], np.arange(len(pat) + 1))
     names = np.array([*ids, ""], dtype=object)
@@ -234,8 +245,12 @@ def _search(ids: list[str], pat, length, pairs, shard_words: int, width: int):
             while j < len(docs) and docs[j][0][0] is b:
                 j += 1
             n = pa.array([len(d[2]) for d in docs[i:j]], pa.int64())
+            cols = [c.slice(k, j - i) for c in b.columns]
+            if cut and any(hits[i:j]):
+                at = b.schema.get_field_index("text")
+                cols[at] = pa.array([_cut(t, h) for t, h in zip(cols[at].to_pylist(), hits[i:j], strict=True)], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(
-                [*(c.slice(k, j - i) for c in b.columns), n, pa.array(hits[i:j], _TYPE), pa.array(items[i:j], pa.list_(pa.string()))],
+                [*cols, n, pa.array(hits[i:j], _TYPE), pa.array(items[i:j], pa.list_(pa.string()))],
                 [*b.schema.names, "n_words", "hits", "item_ids"],
             )
             i = j
@@ -272,14 +287,15 @@ def _search(ids: list[str], pat, length, pairs, shard_words: int, width: int):
     return run
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, width: int = WINDOW) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, width: int = WINDOW, cut: bool = False) -> DataFrame:
     """row (all columns but text), text, n_words, hits, item_ids: one row per row of ``docs``.
 
     hits: disjoint spans of words (from 0) and bytes inside occurrences of
     benchmark windows; item_ids: ids, as strings, of the items they come from.
     Null text has no words and no hits.  Items without words, and an empty
     benchmark, match nothing.  Repeated rows are judged each by itself; extra
-    columns, whatever their names, are carried in ``row``.
+    columns, whatever their names, are carried in ``row``.  With ``cut``, text
+    comes without the hit spans.
     """
     spark = docs.sparkSession
     C.prepare(spark)
@@ -294,7 +310,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about block_bytes of text
         pat, length, pairs = windows([(r.item_id, r.text) for r in rows], width)
         kind = T.StructType(src.schema.fields + T.StructType.fromDDL(f"n_words long, hits {_SPAN}, item_ids array<string>").fields)
-        got = src.mapInArrow(_search([r.item_id for r in rows], pat, length, pairs, shard_words, width), kind)
+        got = C.stream_map(src, _search([r.item_id for r in rows], pat, length, pairs, shard_words, width, cut and blocks == 1), kind)
         out = got if out is None else out.unionByName(got)
     if blocks > 1:
         hits = out.groupBy("at").agg(
@@ -302,6 +318,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
             F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
         )
         out = src.join(hits, "at").select("row", "text", "n_words", _merged("hits").alias("hits"), "item_ids")
+        if cut:
+            out = out.withColumn("text", _cut_column("text", "hits"))
     return out
 
 
@@ -332,20 +350,16 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def without_spans(found: DataFrame, columns: list[str]) -> DataFrame:
-    """``find_hits`` rows with their hit spans cut from the text; ``columns`` in order."""
+def _cut_column(text: str, hits: str):
+    def run(t: pd.Series, h: pd.Series) -> pd.Series:
+        return t.combine(h, _cut)
 
-    def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
-        def one(t, hs):
-            if not len(hs):
-                return t
-            raw, out, at = t.encode(), [], 0
-            for x in hs:
-                out.append(raw[at : x["byte_start"]])
-                at = x["byte_stop"]
-            return b"".join([*out, raw[at:]]).decode()
+    return F.pandas_udf(run, "string")(text, hits)
 
-        return text.combine(hits, one)
 
-    text = F.when(F.size("hits") > 0, F.pandas_udf(cut, "string")("text", "hits")).otherwise(F.col("text"))
-    return found.select(*(text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+def without_spans(docs: DataFrame, benchmark: DataFrame, drop_from: int | None = None) -> DataFrame:
+    """``docs`` with benchmark spans cut from the text; rows with hits of ``drop_from`` items or more go."""
+    found = find_hits(docs, benchmark, cut=True)
+    if drop_from is not None:
+        found = found.where(F.size("item_ids") < drop_from)
+    return found.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

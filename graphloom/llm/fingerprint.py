@@ -221,4 +221,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     heads = heads.select("doc_id", "text", "th", place[F.col("q")].alias("pid"), F.lit(1).alias("kind"))
     rows = d.withColumn("kind", F.lit(0)).unionByName(heads)
     rows = rows.repartitionById(max(parts, len(cuts) + 1), F.col("pid")).sortWithinPartitions("pid", "kind", F.col("doc_id").desc_nulls_last(), "th")
-    return rows.select("doc_id", "text", "kind").mapInArrow(_run, _SCHEMA)
+    return C.stream_map(rows.select("doc_id", "text", "kind"), _run, _SCHEMA)

@@ -36,7 +36,7 @@ KMER = 32
 #: Distinct contexts of one anchor that are indexed together.
 BLOCK = 4096
 #: Bytes of contexts in one index, if no block is larger.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 _inv: np.ndarray | None = None
 
@@ -393,7 +393,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, block: int = BLOCK) -> tup
         .select("key", "salt", "nb", "did", "th", "lo", "ctx", "n", "rel")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = C.cut(dealt.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_index_contexts(span, block), _SPANS_SCHEMA), gone)
+    found = C.cut(C.stream_map(dealt.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt"), _index_contexts(span, block), _SPANS_SCHEMA), gone)
     whole = found.where("key is null").select("did", "th", "start", "stop")
     win = found.where("key is not null")
     again = win.groupBy("key", "rel", "wh").agg(F.count("*").alias("k")).where("k > 1").drop("k")

@@ -224,7 +224,7 @@ def test_decontamination(spark, docs, block, shard):
 
 def test_decontaminated_text(spark, docs, none):
     bench = spark.createDataFrame([(1, fixture_texts()[8][:200])], "item_id long, text string")
-    out = D.without_spans(D.find_hits(docs, bench), docs.columns)
+    out = D.without_spans(docs, bench)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert D.digest(D.find_hits(out, bench)).where("n_hit > 0").count() == 0
     assert D.find_hits(none, bench).count() == 0
