@@ -248,8 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Texts without words have n_shingles 0 and are linked with nothing; null
-    text counts as empty.  Repeated rows give repeated result rows, and rows
-    whose doc_id is null get a null component and are kept.  Extra columns are
+    text counts as empty.  Repeated rows give repeated result rows (rows of one
+    doc_id are taken to be one document), and rows whose doc_id is null get a
+    null component and are not linked.  Extra columns are
     ignored.  Ties don't occur: ids decide.
     """
     spark = docs.sparkSession

@@ -38,7 +38,7 @@ CACHE_WORDS = 1_000_000
 #: New words that go to the library in one call, and in one text of a call.
 CALL_WORDS, TEXT_WORDS = 2048, 64
 #: Bytes of text that are encoded together.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 END = 1
 _DIR = 512
 
