@@ -257,7 +257,7 @@ def tree_gibbs(b: Block) -> None:
 
 
 KERNELS: dict[str, tuple[Callable[[Block], None], str]] = {
-    "zen": (frozen_gibbs, "term"), "light": (cycle_mh, "doc"), "sparse": (sparse_gibbs, "doc"), "alias": (alias_mh, "doc"), "ftree": (tree_gibbs, "term"),
+    "frozen": (frozen_gibbs, "term"), "light": (cycle_mh, "doc"), "sparse": (sparse_gibbs, "doc"), "alias": (alias_mh, "doc"), "ftree": (tree_gibbs, "term"),
 }
 
 

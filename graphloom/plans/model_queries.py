@@ -168,7 +168,7 @@ def _sweeps(algorithm: str):
         t = T.train(_corpus(spark, d), T.Config(topics=K, blocks=8, algorithm=algorithm), 1)
         return t.agg(F.count("*").alias("n"))
 
-    f.__name__ = {"zen": "l08", "light": "l09", "sparse": "l10", "alias": "l11", "ftree": "l12"}[algorithm] + f"_sweep_{algorithm}"
+    f.__name__ = {"frozen": "l08", "light": "l09", "sparse": "l10", "alias": "l11", "ftree": "l12"}[algorithm] + f"_sweep_{algorithm}"
     query(_N_SQL)(f)
 
 

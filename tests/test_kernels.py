@@ -356,3 +356,26 @@ def test_incremental_training(spark, samples, tmp_path):
     f = IncrementalFactors("fm", FM.Config(rank=2, iterations=2))
     stream.writeStream.foreachBatch(f.step).option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
     assert f.model.params.count() == 12
+
+
+# ------------------------------------------------------------ command line
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.plans import cli
+
+    r = np.random.default_rng(7)
+    (tmp_path / "c.txt").write_text("\n".join(f"{d} " + " ".join(f"{t}:{1 + t % 3}" for t in r.integers(0, 20, 6)) for d in range(12)))
+    cli.main(["topics", "--input", str(tmp_path / "c.txt"), "--output", str(tmp_path / "t"), "--topics", "3", "--iterations", "1", "--blocks", "2", "--single"])
+    assert persist.load_topics(spark, str(tmp_path / "t"))[1]["topics"] == 3
+    (tmp_path / "b.svm").write_text("\n".join(f"{1 if k % 2 else -1} {1 + k % 2}:1 3:{r.random():.3f}" for k in range(60)))
+    cli.main(["logistic", "--input", str(tmp_path / "b.svm"), "--output", str(tmp_path / "w"), "--iterations", "3", "--step", "1"])
+    assert persist.load_linear(spark, str(tmp_path / "w")).count() == 3
+    (tmp_path / "r.csv").write_text("\n".join(f"{u},{m},{1 + (u + m) % 5},{86400 * (u * 7 + m) + m}" for u in range(1, 8) for m in range(1, 8)))
+    cli.main(["factors", "--input", str(tmp_path / "r.csv"), "--output", str(tmp_path / "f"), "--rank", "2", "--iterations", "2", "--adagrad"])
+    assert persist.load_factor_model(spark, str(tmp_path / "f"), "fm").rank == 2
+    spark.createDataFrame([(q, d, d % 3) for q in range(6) for d in range(4)], "query long, doc int, label int").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(q, d, 0, d % 3) for q in range(6) for d in range(4)], "query long, doc int, feature int, bin int").write.parquet(str(tmp_path / "x"))
+    cli.main(["rank", "--samples", str(tmp_path / "s"), "--features", str(tmp_path / "x"), "--output", str(tmp_path / "trees"), "--trees", "1", "--leaves", "3", "--gains", "0:1:3"])
+    out = capsys.readouterr().out
+    assert "total" in out and "auc" in out and "rmse" in out and "error" in out
