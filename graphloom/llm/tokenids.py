@@ -18,6 +18,7 @@ them whole and any store that Spark reads can hold them.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import unicodedata
@@ -25,7 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,7 +39,7 @@ CACHE_WORDS = 1_000_000
 #: New words that go to the library in one call, and in one text of a call.
 CALL_WORDS, TEXT_WORDS = 2048, 64
 #: Bytes of text that are encoded together.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 END = 1
 _DIR = 512
 
@@ -222,12 +223,13 @@ class WordEncoder:
         if len(self.number) > CACHE_WORDS:
             self._reset()
         once = coded.dictionary.to_pylist()
-        known = list(map(self.number.get, once))
-        new = [w for w, k in zip(once, known, strict=True) if k is None]
-        if new:
+        known = np.fromiter(map(self.number.get, once, itertools.repeat(-1)), np.int64, len(once))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new = [once[i] for i in missing.tolist()]
             self._learn(new)
-            known = list(map(self.number.get, once))
-        k = np.array(known, np.int64)[np.asarray(coded.indices)]
+            known[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        k = known[np.asarray(coded.indices)]
         n = self.first[k + 1] - self.first[k]
         total = np.concatenate([[0], np.cumsum(n)])
         out = self.ids[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(self.first[k], n)]
@@ -251,13 +253,13 @@ def _writer(path: str, file_tokens: int, end: int):
         if path not in _made:
             _made[path] = WordEncoder(path)
         enc = _made[path]
-        ids, lens, names, pid, seq, size = [], [], [], None, 0, 0
+        ids, lens, names, pid, seq, size, before = [], [], [], None, 0, 0, 0
 
         def file():
             n = np.concatenate(lens)
             starts = np.concatenate([[0], np.cumsum(n)])
             blob = DirectCodes.encode(np.concatenate(ids), np.array(names, np.int64), starts)
-            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seq], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([blob], pa.binary())], ["pid", "seq", "n", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([blob], pa.binary())], ["pid", "seq", "before", "n", "file"])
 
         for b in batches:
             if not b.num_rows:
@@ -273,7 +275,7 @@ def _writer(path: str, file_tokens: int, end: int):
                 for k in range(j - i):
                     if names and (size + n[k] > file_tokens or pids[i + k] != pid):
                         yield file()
-                        seq += 1
+                        seq, before = (seq + 1, before + size) if pids[i + k] == pid else (0, 0)
                         ids, lens, names, size = [], [], [], 0
                     pid = int(pids[i + k])
                     ids.append(got[at[k] : at[k + 1]])
@@ -287,7 +289,9 @@ def _writer(path: str, file_tokens: int, end: int):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, file_tokens: int = FILE_TOKENS, end: int = END) -> DataFrame:
-    """Files (pid, seq, n, file) in ascending doc_id order, written to ``path``.
+    """Files (pid, seq, before, n, file) in ascending doc_id order, written to ``path``.
+
+    pid numbers ranges of ids, seq the files of a range, before its ids in earlier files.
 
     Null text counts as empty (its only id is ``end``); rows of one id stand in
     order of their text's hash; rows without an id are left out, as files are
@@ -298,11 +302,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     cuts = cut_points(docs, partitions(docs))
     d = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), range_number(F.col("doc_id"), cuts).alias("pid"))
     d = d.repartitionById(len(cuts) + 1, F.col("pid")).sortWithinPartitions("pid", "doc_id", "th").select("doc_id", "text", "pid")
-    files = C.stream_map(d, _writer(tokenizer, file_tokens, end), "pid int, seq long, n long, file binary")
-    if path is None:
-        return C.cut(files)
-    files.write.parquet(path)
-    return spark.read.parquet(path)
+    files = C.stream_map(d, _writer(tokenizer, file_tokens, end), "pid int, seq long, before long, n long, file binary")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))  # fewer slices: words repeat more within one
+    try:
+        if path is None:
+            return C.cut(files)
+        files.write.parquet(path)
+        return spark.read.parquet(path)
+    finally:
+        C.prepare(spark)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -314,9 +322,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
         base.append((pid, at))
         at += per[pid]
     base = spark.createDataFrame(base, "pid int, base long")
-    within = files.select("pid", "seq", "n")
-    order = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = within.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(base), "pid").select("pid", "seq", (F.col("base") + F.col("before")).alias("at"))
+    at = files.join(F.broadcast(base), "pid").select("file", (F.col("base") + F.col("before")).alias("at"))
 
     def run(batches):
         for b in batches:
@@ -326,4 +332,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(f.document(k).astype("<u4").tobytes()) for k in range(len(n))]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids), pa.array(f.starts[:-1] + first), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return C.stream_map(files.join(at, ["pid", "seq"]).select("file", "at"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return C.stream_map(at, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
