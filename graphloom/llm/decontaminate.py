@@ -205,7 +205,7 @@ def _cut(text: str | None, hits: list[dict]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _search(ids: list[str], pat, length, pairs, shard_words: int, width: int, cut: bool):
+def _search(ids: list[str | None], pat, length, pairs, shard_words: int, width: int, cut: bool):
     """Batches of (row, text) -> row, text (without the hits, if ``cut``), n_words, hits, item_ids."""
     by_win = pairs[np.argsort(pairs[:, 0], kind="stable")]
     heads = np.searchsorted(by_win[:, 0], np.arange(len(pat) + 1))
@@ -237,7 +237,8 @@ def _search(ids: list[str], pat, length, pairs, shard_words: int, width: int, cu
         for _, _, st, en, found in docs:
             cover = _union([(q, q + int(length[w])) for q, w in found])
             hits.append([{"start": a, "stop": b, "byte_start": int(st[a]), "byte_stop": int(en[b - 1])} for a, b in cover])
-            items.append([names[i] for i in sorted({i for w in {w for _, w in found} for i in by_win[heads[w] : heads[w + 1], 1].tolist()})])
+            of = {names[i] for w in {w for _, w in found} for i in by_win[heads[w] : heads[w + 1], 1].tolist()}
+            items.append(sorted(of - {None}))
         i = 0
         while i < len(docs):  # rows of one Arrow batch go out together
             b, k = docs[i][0]
@@ -291,9 +292,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
     """row (all columns but text), text, n_words, hits, item_ids: one row per row of ``docs``.
 
     hits: disjoint spans of words (from 0) and bytes inside occurrences of
-    benchmark windows; item_ids: ids, as strings, of the items they come from.
-    Null text has no words and no hits.  Items without words, and an empty
-    benchmark, match nothing.  Repeated rows are judged each by itself; extra
+    benchmark windows; item_ids: distinct ids, as sorted strings, of the items
+    they come from, whose rows may be several.  Items with a null id give hits
+    but no id.  Null text has no words and no hits.  Items without words, and an
+    empty benchmark, match nothing.  Repeated rows are judged each by itself; extra
     columns, whatever their names, are carried in ``row``.  With ``cut``, text
     comes without the hit spans.
     """
@@ -301,13 +303,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
     C.prepare(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     src = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
     if blocks > 1:  # hits of several blocks meet by a row number that is written down
         src = C.cut(src.withColumn("at", F.monotonically_increasing_id()))
     out = None
     for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about block_bytes of text
+        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes of text
         pat, length, pairs = windows([(r.item_id, r.text) for r in rows], width)
         kind = T.StructType(src.schema.fields + T.StructType.fromDDL(f"n_words long, hits {_SPAN}, item_ids array<string>").fields)
         got = C.stream_map(src, _search([r.item_id for r in rows], pat, length, pairs, shard_words, width, cut and blocks == 1), kind)
@@ -315,7 +317,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
     if blocks > 1:
         hits = out.groupBy("at").agg(
             F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         )
         out = src.join(hits, "at").select("row", "text", "n_words", _merged("hits").alias("hits"), "item_ids")
         if cut:

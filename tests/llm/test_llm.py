@@ -222,6 +222,39 @@ def test_decontamination(spark, docs, block, shard):
     assert collections.Counter(map(tuple, got)) == collections.Counter(brute_hits(rows, items))
 
 
+@pytest.mark.parametrize(("block", "shard"), [(8 << 20, 1 << 18), (200, 50)])
+def test_decontamination_repeated_and_null_items(spark, docs, block, shard):
+    """Rows of one item count once, in one block or several; items without an id hit but aren't listed."""
+    t = fixture_texts()
+    items = [(1, t[8][:200]), (1, t[8][:200]), (2, t[8][100:300]), (2, t[8][400:600]), (None, t[6]), (None, t[5]), (12, t[7]), (12, t[7])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = D.find_hits(docs, bench, block, shard)
+    plain = [(i, n, k) for i, n, k, *_ in brute_hits(rows, items)]
+    got = D.digest(found).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit) for r in got) == collections.Counter(plain)
+    named = [(i, len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), len(x) >= 2) for i, x in named_items(rows, items)]
+    assert collections.Counter((r.doc_id, r.n_items, r.items_sha256, r.contaminated) for r in got) == collections.Counter(named)
+    assert all(r.item_ids == sorted(set(r.item_ids)) for r in found.select("item_ids").collect())
+    one = spark.createDataFrame([(1, t[7])] * 2, "item_id long, text string")
+    assert D.without_spans(docs, one, drop_from=2).count() == len(rows)
+
+
+def named_items(rows, bench):
+    """The ids of items that a text holds a window of, each once, without nulls."""
+    out = []
+    for i, t in rows:
+        w = words(t, ALNUM)
+        has = set()
+        for item, b in bench:
+            v = words(b, ALNUM)
+            wins = {tuple(v[k : k + 8]) for k in range(max(len(v) - 7, 1) if v else 0)}
+            if item is not None and any(tuple(w[k : k + len(x)]) == x for x in wins for k in range(len(w))):
+                has.add(str(item))
+        out.append((i, sorted(has)))
+    return out
+
+
 def test_decontaminated_text(spark, docs, none):
     bench = spark.createDataFrame([(1, fixture_texts()[8][:200])], "item_id long, text string")
     out = D.without_spans(docs, bench)
