@@ -3,7 +3,9 @@
 1. Every text becomes a set of five-word shingles (64-bit hashes).  One pass
    yields its size, a 128-bit commutative digest of the set and a SuperMinHash
    signature of 128 rows of 16 bits.
-2. Texts with equal sets are one class; only its smallest id goes on.
+2. Texts with equal sets are one class; only its smallest id goes on.  Ids here
+   are row keys that are written down with the texts, so repeated rows, rows
+   of one doc_id with different texts and rows without a doc_id are told apart.
 3. 32 bands of four rows make buckets.  A pair at similarity 0.75 misses all
    buckets with probability 5e-6.  Members are first checked against the
    smallest and the largest member of their bucket: a number of pairs linear in
@@ -113,7 +115,7 @@ def shingle_sets(low: np.ndarray, off: np.ndarray):
 
 
 def _sketch(b: pa.RecordBatch):
-    ids = b.column("doc_id")
+    ids, names = b.column("id"), b.column("doc_id")
     raw, offsets = C.text_view(b.column("text"))
     for i, j in C.slices(offsets):
         off = offsets[i : j + 1] - offsets[i]
@@ -135,10 +137,10 @@ def _sketch(b: pa.RecordBatch):
         flat = pa.array(keys.reshape(-1))
         yield pa.RecordBatch.from_arrays(
             [
-                ids.slice(i, n), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                ids.slice(i, n), names.slice(i, n), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat),
             ],
-            ["doc_id", "n_shingles", "s1", "s2", "keys"],
+            ["id", "doc_id", "n_shingles", "s1", "s2", "keys"],
         )
 
 
@@ -248,20 +250,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Texts without words have n_shingles 0 and are linked with nothing; null
-    text counts as empty.  Repeated rows give repeated result rows (rows of one
-    doc_id are taken to be one document), and rows whose doc_id is null get a
-    null component and are not linked.  Extra columns are
-    ignored.  Ties don't occur: ids decide.
+    text counts as empty.  Every row is judged by its own text: repeated rows
+    give repeated result rows, and rows whose doc_id is null get a null
+    component and are not linked (``deduplicated`` links them, and keeps one row
+    of repeated ones).  Extra columns are ignored.  Ties don't occur: ids decide.
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    src = docs.select("doc_id", "text")
     gone: list[str] = []
-    sketch = C.cut(C.arrow_map(src, _sketch, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
-    full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    reps = full.join(classes.select(F.col("id").alias("doc_id"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), "doc_id", "left_semi")
-    reps = C.cut(reps.select(F.col("doc_id").alias("id"), "keys").dropDuplicates(["id"]), gone)
+    src = _with_key(docs.select("doc_id", "text"), "id", gone)
+    out = _groups(src, gone, "doc_id is not null")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
+    out = C.cut(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    C.drop(spark, gone)
+    return out
+
+
+def _with_key(docs: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """``docs`` written down with a unique number for each row."""
+    return C.cut(docs.withColumn(name, F.monotonically_increasing_id()), into)
+
+
+def _groups(src: DataFrame, gone: list[str], linked: str) -> DataFrame:
+    """id, doc_id, n_shingles, first: one row per row of ``src`` (id, doc_id, text).
+
+    first: doc_id and id of the first row of the row's group, by doc_id (nulls
+    last), then id; null for texts without words.  Rows that aren't ``linked``
+    make no groups.
+    """
+    sketch = C.cut(C.arrow_map(src.select("id", "doc_id", "text"), _sketch, "id long, doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), gone)
+    full = sketch.where("n_shingles > 0").where(linked)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("first")
+    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), least)
+    reps = C.cut(full.join(classes.select("id"), "id", "left_semi").select("id", "keys"), gone)
 
     bands = reps.select("id", F.posexplode("keys").alias("band", "key"))
     heads = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n")).where("lead < last")
@@ -269,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = members.select("id").distinct().join(reps, "id")
     sets = C.cut(
-        C.arrow_map(src.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"]), _sets, "id long, keys array<long>, grams binary"), gone
+        C.arrow_map(src.select("id", "text").join(wanted, "id"), _sets, "id long, keys array<long>, grams binary"), gone
     )
 
     first = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(
@@ -285,14 +306,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     state, _ = _merged(state, C.cut(_block_links(members, state, sets, gone), gone), gone)
     final = state.select("id", F.col("comp").alias("component"))
     member = classes.join(final, "id", "left").select(
-        F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "id").alias("comp")
+        F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "id").alias("comp"), "first"
     )
+    member = member.drop("first").join(member.groupBy("comp").agg(F.min("first").alias("first")), "comp")
     s = sketch.drop("keys")
     out = s.join(member, (s.s1 == member.c1) & (s.s2 == member.c2) & (s.n_shingles == member.cn) & (s.n_shingles > 0), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
-    out = C.cut(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    C.drop(spark, gone)
-    return out
+    return out.select("id", "doc_id", "n_shingles", "first")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -361,6 +380,15 @@ def blocks_of(n):
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that their group keeps: one document of each group."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that their group keeps: one row of each group, the first by doc_id.
+
+    Rows without a doc_id take part, after all others.  Texts without words stay.
+    """
+    spark = docs.sparkSession
+    C.prepare(spark)
+    gone: list[str] = []
+    rows = _with_key(docs, "_row_key")
+    found = _groups(rows.select(F.col("_row_key").alias("id"), "doc_id", "text"), gone, "true")
+    kept = C.cut(found.where("first is null or first.id = id").select(F.col("id").alias("_row_key")))
+    C.drop(spark, gone)
+    return rows.join(kept, "_row_key", "left_semi").select(*docs.columns)

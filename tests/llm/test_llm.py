@@ -508,6 +508,29 @@ def test_discriminant_is_the_density_ratio():
 # ------------------------------------------------------------ pipeline
 
 
+def test_pipeline_repeated_and_null_rows(spark):
+    """Repeated rows and rows without an id leave near_duplicates and repeats once, with their whole text."""
+    import corpus_pipeline as cp
+
+    t = [prose(300, 50 + k) for k in range(6)]
+    assert all(len(x.encode()) >= 400 for x in t)
+    rows = [(1, t[0]), (1, t[0]), (1, t[0]), (None, t[1]), (None, t[1]), (3, t[2]), (None, t[2] + " tail"), (4, t[3]), (4, t[4]), (5, t[5]), (2, t[5]), (None, None), (6, "")]
+    docs = spark.createDataFrame([(i, x, len(x or "")) for i, x in rows], "doc_id long, text string, n_chars long").repartition(3)
+    want = collections.Counter([(1, t[0]), (None, t[1]), (3, t[2]), (4, t[3]), (4, t[4]), (2, t[5]), (None, None), (6, "")])
+    for stage in (cp.drop_near_duplicates, cp.cut_repeats):
+        docs = C.cut(stage(spark, docs, ""))
+        assert docs.columns == ["doc_id", "text", "n_chars"]
+        assert collections.Counter((r.doc_id, r.text) for r in docs.collect()) == want
+
+
+def test_near_duplicates_one_id_several_texts(spark):
+    """Rows of one doc_id are each judged by their own text."""
+    a, b = prose(80, 91), prose(80, 92)
+    docs = spark.createDataFrame([(7, a), (7, b), (3, b), (None, a)], "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(docs).collect())
+    assert got == collections.Counter([(7, 7, True), (7, 3, False), (3, 3, True), (None, None, True)])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
