@@ -204,6 +204,14 @@ def l17_inference(spark, d):
     return p.agg(F.count_distinct("doc").alias("docs"), r(F.sum("p"), 6).alias("mass"))
 
 
+@query()
+def l17_inference_all(spark, d):
+    """Every document with the operator's own burn-in and sweeps; l17_inference's SQL allows a few only."""
+    t = tokens(spark, d)
+    bags = t.groupBy("doc", "term").agg(F.count("*").alias("cnt"))
+    return T.infer(bags, T.term_counts(t), CFG).select("doc", "topic", r("p").alias("p"))
+
+
 @query(f"WITH {TOK_SQL}, n AS (SELECT term, topic, count(*) AS nw FROM tok GROUP BY 1, 2) SELECT topic, term, nw, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY nw DESC, term) AS rank FROM n) WHERE rank <= 10")
 def l19_top_terms(spark, d):
     return T.top_terms(T.term_counts(tokens(spark, d))).select("topic", "term", "nw", "rank")

@@ -140,6 +140,27 @@ def test_topic_models_learn(spark, algorithm):
         T.kernel("nothing")
 
 
+def test_inference_is_the_posterior_mean(spark):
+    """Shares against the sum over all assignments of a few tokens."""
+    c = T.Config(topics=2)
+    model = {("a", 0): 9, ("a", 1): 1, ("b", 0): 2, ("b", 1): 6, ("c", 1): 4}
+    bags = {30: ["a", "a", "b", "c"], 31: ["c", "b", "a"], 99: ["a"]}
+    got = T.infer(
+        spark.createDataFrame([(d, w, ws.count(w)) for d, ws in bags.items() for w in set(ws)], "doc long, term string, cnt long"),
+        spark.createDataFrame([(w, k, n) for (w, k), n in model.items()], "term string, topic int, nw long"), c, 50, 20000,
+    ).collect()
+    nk = [sum(n for (_, k), n in model.items() if k == t) for t in range(2)]
+    alpha = [(n + c.alpha_as) * c.alpha * 2 / (sum(nk) + c.alpha_as * 2) for n in nk]
+    assert {x.doc for x in got} == set(bags)
+    for d, ws in bags.items():
+        mass = mean = 0.0
+        for z in itertools.product(range(2), repeat=len(ws)):
+            p = math.prod((model.get((w, k), 0) + c.beta) / (nk[k] + c.beta * 3) for w, k in zip(ws, z, strict=True))
+            p *= math.prod(math.gamma(z.count(k) + alpha[k]) for k in range(2))
+            mass, mean = mass + p, mean + p * z.count(0) / len(ws)
+        assert abs(sum(x.p for x in got if x.doc == d and x.topic == 0) - mean / mass) < 0.04
+
+
 def test_topics_save_load_infer(spark, tmp_path):
     c = T.Config(topics=4, blocks=2)
     bags = ring_corpus(spark)

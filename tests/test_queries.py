@@ -68,3 +68,13 @@ def test_without_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_inference_of_every_document(spark, duck):
+    """l17_inference_all leaves no document with words out, and shares add up to one."""
+    got = {}
+    for x in entry.queries()["l17_inference_all"](spark, SF).collect():
+        got[x.doc] = got.get(x.doc, 0) + x.p
+    want = duck.sql("select doc_id from documents where regexp_matches(lower(text), '[a-z]')").fetchall()
+    assert set(got) == {i for (i,) in want} and max(got) >= 20
+    assert all(abs(p - 1) < 1e-6 for p in got.values())
