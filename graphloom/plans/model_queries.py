@@ -196,6 +196,34 @@ for _i in ("random", "sparseterm", "sparsedoc"):
     _init(_i)
 
 
+_KEPT_SQL = f"WITH {TOK_SQL} SELECT 'doc' AS kind, doc::VARCHAR AS key, count(*) AS n FROM tok GROUP BY 2 UNION ALL SELECT 'term', term, count(*) FROM tok GROUP BY 2"
+
+
+def _all_tokens(spark, d) -> DataFrame:
+    """Every token of every document, without topics."""
+    return T.tokens_from_bags(tokens(spark, d).groupBy("doc", "term").agg(F.count("*").alias("cnt")))
+
+
+def _kept(t: DataFrame) -> DataFrame:
+    """Tokens of each document and of each term: what no sampler may change."""
+    by = lambda c: t.groupBy(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key")).agg(F.count("*").alias("n"))
+    return by("doc").unionByName(by("term"))
+
+
+def _whole(name: str, run) -> None:
+    def f(spark, d):
+        return _kept(run(_all_tokens(spark, d)))
+
+    f.__name__ = name
+    query(_KEPT_SQL)(f)
+
+
+for _a, _n in zip(("frozen", "light", "sparse", "alias", "ftree"), range(8, 13), strict=True):
+    _whole(f"l{_n:02d}_sweep_{_a}_all", lambda t, a=_a: T.train(t, T.Config(topics=K, algorithm=a), 1))
+for _i in ("random", "sparseterm", "sparsedoc"):
+    _whole(f"l03_init_{_i}_all", lambda t, i=_i: T.initialise(t, T.Config(topics=K, init=i)))
+
+
 @query(f"WITH {TOK_SQL} SELECT count(DISTINCT doc) AS docs, round(count(DISTINCT doc)::DOUBLE, 6) AS mass FROM tok WHERE doc < 20")
 def l17_inference(spark, d):
     t = tokens(spark, d)
