@@ -18,6 +18,12 @@ in the corpus.  Strings are judged on the input; none crosses documents.
    matching statistics of the whole batch against itself in one stream.
 4. An anchor with more contexts than a block holds is spread over blocks; its
    windows are then also counted by hash across the blocks.
+5. A search for a longer span may be confined to the runs that a search for a
+   shorter one has covered: every part of a repeated string is repeated, so
+   nothing is lost, and only those runs are read again.
+
+Contexts that are equal as a whole are told by their hash alone (a second copy of
+a string adds nothing to its matches), so one copy of each goes into an index.
 """
 
 from __future__ import annotations
@@ -32,6 +38,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPAN = 400
+#: A passage: at least so many whole words in a run of repeated strings of so many bytes.
+PASSAGE_WORDS = 50
+PASSAGE_SPAN = 160
 KMER = 32
 #: Distinct contexts of one anchor that are indexed together.
 BLOCK = 4096
@@ -105,10 +114,23 @@ def anchors(raw: np.ndarray, off: np.ndarray, span: int):
         return doc, lo, hi, a, h[a], ctx
 
 
+def _pieces(b: pa.RecordBatch, span: int):
+    """Bytes, offsets, row and place of the runs that are to be searched: whole texts, or those in ``runs``."""
+    raw, offsets = C.text_view(b.column("text"))
+    if "runs" not in b.schema.names:
+        return raw, offsets, np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+    runs = b.column("runs")
+    flat = runs.flatten()
+    start, stop = np.asarray(flat.field("start")), np.asarray(flat.field("stop"))
+    row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(runs.offsets)))
+    parts = [raw[offsets[r] + x : offsets[r] + y] for r, x, y in zip(row, start, stop, strict=True)]
+    return np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate([[0], np.cumsum(stop - start)]), row, start
+
+
 def _anchor_rows(span: int):
     def kernel(b: pa.RecordBatch):
         ids, th = b.column("doc_id"), b.column("th")
-        raw, offsets = C.text_view(b.column("text"))
+        raw, offsets, row, place = _pieces(b, span)
         for i, j in C.slices(offsets):
             start, end = offsets[i], offsets[j]
             step = (1 << 20) - span
@@ -120,8 +142,8 @@ def _anchor_rows(span: int):
                 doc, lo, hi, a, h, c = anchors(raw[base:stop], off, span)
                 if not len(doc):
                     continue
-                shift = base - offsets[i + doc]
-                take = pa.array(i + doc)
+                shift = base - offsets[i + doc] + place[i + doc]
+                take = pa.array(row[i + doc])
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(take), th.take(take), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array((lo + shift).astype(np.int64)), pa.array((hi - lo).astype(np.int32)), pa.array((a - lo).astype(np.int32))],
                     ["doc_id", "th", "h", "c", "lo", "more", "rel"],
@@ -356,16 +378,51 @@ def _ctx_batch(out):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _CTX)
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
-    """(did, th, spans): places of repeated strings, by id and hash of the text.
+def _merged_runs(least: int):
+    """Overlapping spans of a text joined to runs of at least ``least`` bytes, in order."""
+
+    def kernel(b: pa.RecordBatch):
+        spans = b.column("spans")
+        flat, ends = spans.flatten(), np.asarray(spans.offsets) - spans.offsets[0].as_py()
+        start, stop = np.asarray(flat.field("start")), np.asarray(flat.field("stop"))
+        row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+        order = np.lexsort((start, row))
+        start, stop, row = start[order], stop[order], row[order]
+        if not len(row):
+            return
+        wide = int(stop.max()) + 1  # texts one after the other, so that one running maximum does
+        reach = np.maximum.accumulate(stop + row * wide)
+        new = np.ones(len(row), bool)
+        new[1:] = (start + row * wide)[1:] > reach[:-1]
+        head = np.flatnonzero(new)
+        row, start, stop = row[head], start[head], reach[np.append(head[1:], len(reach)) - 1] - row[head] * wide
+        ok = stop - start >= least
+        row, start, stop = row[ok], start[ok], stop[ok]
+        n = np.bincount(row, minlength=b.num_rows)
+        runs = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "stop"]))
+        out = pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), runs], ["did", "th", "runs"])
+        yield out.filter(pa.array(n > 0))
+
+    return kernel
+
 
-    Also the tables in the shared folder that the result still reads.
+def repeated_spans(docs: DataFrame, span: int = SPAN, block: int = BLOCK, within: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(did, th, runs): places covered by repeated strings, by id and hash of the text.
+
+    ``within``: an earlier result for a shorter span, to whose runs the search is
+    confined.  Also the tables in the shared folder that the result still reads.
     """
+    assert 1 <= span <= 1 << 16, "contexts must fit into an index"
+    block = max(2, min(block, (13 << 17) // span))  # so that a block's contexts always fit into one index
     spark = docs.sparkSession
     C.prepare(spark)
     gone: list[str] = []
     left: list[str] = []
-    d = docs.select(F.col("doc_id").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    if within is not None:
+        long_ = within.select("did", F.col("th").alias("sth"), F.filter("runs", lambda x: x["stop"] - x["start"] >= span).alias("runs")).where("size(runs) > 0")
+        d = d.join(long_, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("did")) & (F.col("th") == F.col("sth"))).drop("did", "sth")
+        d = C.cut(d, gone)
     a = C.cut(anchor_table(d, span).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), gone)
     ctx = C.cut(
         a.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "lo", "more", "rel")).alias("at")), gone
@@ -399,74 +456,96 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, block: int = BLOCK) -> tup
     again = win.groupBy("key", "rel", "wh").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     across = win.where("did is not null").join(again, ["key", "rel", "wh"], "left_semi").select("did", "th", "start", "stop")
     spans = sure.union(whole).union(across).groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = C.cut(spans, left)
+    runs = C.cut(C.arrow_map(spans, _merged_runs(span), _RUNS_SCHEMA), left)
     C.drop(spark, gone)
-    return spans, left
+    return runs, left
 
 
-def _remove(b: pa.RecordBatch):
-    raw, offsets = C.text_view(b.column("text"))
-    spans = b.column("spans")
-    flat = spans.flatten()
-    start, stop = np.asarray(flat.field("start")), np.asarray(flat.field("stop"))
-    count = np.array([len(x) if x.is_valid else 0 for x in spans])
-    ends = np.cumsum(count)
-    rows = [[] for _ in range(5)]
-    for i in range(b.num_rows):
-        text = raw[offsets[i] : offsets[i + 1]]
-        gone = runs = 0
-        kept = text.tobytes()
-        if count[i]:
-            diff = np.zeros(len(text) + 1, np.int32)
-            np.add.at(diff, start[ends[i] - count[i] : ends[i]], 1)
-            np.add.at(diff, stop[ends[i] - count[i] : ends[i]], -1)
-            out = np.cumsum(diff)[:-1] > 0
-            gone, runs = int(out.sum()), len(true_runs(out)[0])
-            kept = text[~out].tobytes()
-        for c, v in zip(rows, (len(text), gone, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if gone else None), strict=True):
-            c.append(v)
-    keep = [n for n in b.schema.names if n not in ("text", "spans", "_th")]
-    yield pa.RecordBatch.from_arrays(
-        [*(b.column(n) for n in keep), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))],
-        [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-    )
+_RUNS_SCHEMA = "did long, th long, runs array<struct<start:long,stop:long>>"
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, block: int = BLOCK, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) per row of ``docs``.
+def whole_words(text: bytes, start: int, stop: int) -> int:
+    """Words between ASCII white space that lie wholly in a run of a text."""
+    n = len(text[start:stop].split())
+    if n and start and not text[start - 1 : start].isspace() and not text[start : start + 1].isspace():
+        n -= 1
+    if n and stop < len(text) and not text[stop : stop + 1].isspace() and not text[stop - 1 : stop].isspace():
+        n -= 1
+    return n
+
+
+def without_runs(text: bytes, runs: list[dict]) -> bytes:
+    out, at = [], 0
+    for x in runs:
+        out.append(text[at : x["start"]])
+        at = x["stop"]
+    return b"".join([*out, text[at:]])
+
+
+_REMOVED = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("kept_text", pa.string())]
+
+
+def _remove(words: int):
+    def kernel(b: pa.RecordBatch):
+        raw, offsets = C.text_view(b.column("text"))
+        rows = [[] for _ in _REMOVED]
+        for i, (runs, coarse) in enumerate(zip(b.column("runs").to_pylist(), b.column("coarse").to_pylist(), strict=True)):
+            text = raw[offsets[i] : offsets[i + 1]].tobytes()
+            kept = without_runs(text, runs or [])
+            passages = sum(whole_words(text, x["start"], x["stop"]) >= words for x in coarse or [])
+            for c, v in zip(rows, (len(text), len(text) - len(kept), len(runs or []), hashlib.sha256(kept).hexdigest(), passages, kept.decode("utf-8", "ignore")), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(rows, _REMOVED, strict=True))], ["doc_id", *(n for n, _ in _REMOVED)])
+
+    return kernel
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, block: int = BLOCK, passage_span: int = PASSAGE_SPAN, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, kept_text per row of ``docs``.
+
+    n_removed to kept_sha256 and kept_text are of the text without every byte that a
+    repeated string of ``span`` bytes covers.  n_passages counts the runs covered by
+    repeated strings of ``passage_span`` bytes that hold ``passage_words`` whole
+    words or more: long passages whose bytes may be too few for ``span``.
 
     Null text counts as empty; rows may repeat, and then repeat each other's
-    text.  Text shorter than ``span`` is kept.  kept_text is null where nothing
-    goes; where a removed run starts or ends inside a character, what is left of
-    that character is dropped from kept_text (not from the digest).
+    text.  Text shorter than a span has no repeats.  Where a removed run starts or
+    ends inside a character, what is left of that character is dropped from
+    kept_text (not from the digest).
     """
-    spans, _ = repeated_spans(docs, span, block)
-    s = spans.select(F.col("did").alias("_did"), F.col("th").alias("_sth"), "spans")
+    coarse, old = repeated_spans(docs, min(passage_span, span), block)
+    runs, _ = repeated_spans(docs, span, block, coarse)
+    key = ["did", "th"]
+    both = coarse.withColumnRenamed("runs", "coarse").join(runs, key, "left").select(F.col("did").alias("_did"), F.col("th").alias("_sth"), "runs", "coarse")
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
-    j = d.join(s, (F.coalesce(d["doc_id"], F.lit(-(2**63))) == s["_did"]) & (d["_th"] == s["_sth"]), "left").select("doc_id", "text", "spans")
-    out = C.arrow_map(j, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return out if with_text else out.drop("kept_text")
+    j = d.join(both, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_did")) & (F.col("_th") == F.col("_sth")), "left").select("doc_id", "text", "runs", "coarse")
+    kinds = {pa.int64(): "long", pa.string(): "string"}
+    return C.arrow_map(j, _remove(passage_words), "doc_id long, " + ", ".join(f"{n} {kinds[k]}" for n, k in _REMOVED))
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with repeated strings cut from the text and n_chars, if there, set anew; all rows stay."""
-    spans, _ = repeated_spans(docs, span)
-    s = spans.select(F.col("did").alias("_did"), F.col("th").alias("_sth"), F.col("spans").alias("_spans"))
-    j = docs.join(s, (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == s["_did"]) & (F.xxhash64(docs["text"]) == s["_sth"]), "left")
+def without_repeats(docs: DataFrame, span: int = PASSAGE_SPAN, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` without repeated passages, n_chars, if there, set anew; all rows stay.
 
+    A passage is a run of bytes covered by strings of ``span`` bytes that also start
+    elsewhere; it goes if ``least_words`` words or more lie wholly in it.  Null texts
+    stay null.  Columns may have any names.
+    """
+    runs, _ = repeated_spans(docs, span)
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    j = row.join(runs, (F.coalesce("row.doc_id", F.lit(-(2**63))) == F.col("did")) & (F.xxhash64("row.text") == F.col("th")), "left").select("row", "runs")
     names = docs.columns
 
     def kernel(b: pa.RecordBatch):
-        spans, text = b.column("_spans"), b.column("text").to_pylist()
-        for i, x in enumerate(spans.to_pylist()):
-            if x and text[i] is not None:
+        cols = dict(zip(names, b.column("row").flatten(), strict=True))
+        text = cols["text"].to_pylist()
+        for i, runs in enumerate(b.column("runs").to_pylist()):
+            if runs and text[i] is not None:
                 raw = text[i].encode()
-                gone = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(gone, [y["start"] for y in x], 1)
-                np.add.at(gone, [y["stop"] for y in x], -1)
-                text[i] = np.frombuffer(raw, np.uint8)[np.cumsum(gone)[:-1] == 0].tobytes().decode("utf-8", "ignore")
-        cols = [pa.array(text, pa.string()) if n == "text" else b.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays(cols, names)
-
-    out = C.arrow_map(j.select(*docs.columns, "_spans"), kernel, docs.schema)
+                go = [x for x in runs if whole_words(raw, x["start"], x["stop"]) >= least_words]
+                if go:
+                    text[i] = without_runs(raw, go).decode("utf-8", "ignore")
+        cols["text"] = pa.array(text, pa.string())
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+
+    out = C.arrow_map(j, kernel, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

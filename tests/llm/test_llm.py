@@ -167,6 +167,51 @@ def test_repeats_spread_anchor(spark):
     assert [got[i] for i in range(60)] == brute_removed([t for _, t in rows], 80)
 
 
+def test_passages_of_fifty_words(spark):
+    """Passages of 51 to 60 words go, whatever their bytes; shorter ones and clean documents stay."""
+    r = np.random.default_rng(17)
+
+    def own(n, longest=7):
+        return " ".join("".join(chr(97 + int(c)) for c in r.integers(26, size=int(r.integers(2, longest)))) for _ in range(n))
+
+    passages = [own(n, 5 + n % 4) for n in range(51, 61)]
+    short = [own(n) for n in (30, 40, 48)]
+    assert all(len(p.encode()) < 400 for p in passages) and all(len(p.encode()) >= R.PASSAGE_SPAN for p in short[1:])
+    rows, want = [], {}
+    for i in range(40):
+        a, b, p = own(80), own(90), passages[i % 10]
+        rows.append((i, f"{a} {p} {b}"))
+        want[i] = (a.split(), b.split(), p.split())
+    for i in range(40, 52):
+        rows.append((i, f"{own(60)} {short[i % 3]} {own(70)}"))
+    docs = spark.createDataFrame([(i, t, 0, "a", "b", 1) for i, t in rows], "doc_id long, text string, n_chars int, _did string, _sth string, did int").repartition(3)
+    out = {x.doc_id: x for x in R.without_repeats(docs).collect()}
+    assert len(out) == len(rows)
+    for i, t in rows:
+        got, x = out[i].text, out[i]
+        assert (x.n_chars, x._did, x._sth, x.did) == (len(got), "a", "b", 1)
+        if i >= 40:
+            assert got == t
+        else:
+            a, b, p = want[i]
+            kept = got.split()
+            assert kept[:79] == a[:79] and kept[-89:] == b[-89:] and len(kept) <= len(a) + len(b) + 1
+    full = {x.doc_id: x for x in R.remove_repeats(docs).collect()}
+    assert all(full[i].n_passages == (i < 40) and full[i].kept_text == t for i, t in rows)
+    assert [full[i][1:5] for i, _ in rows] == brute_removed([t for _, t in rows], 400)
+
+
+def test_repeats_confined_search(spark):
+    """A longer span inside the runs of a shorter one: the same as over whole texts."""
+    r = np.random.default_rng(23)
+    parts = [prose(int(n), 200 + k) for k, n in enumerate(r.integers(5, 40, size=12))]
+    rows = [(i, " ".join(parts[k] for k in r.integers(12, size=6)) + f" {i}") for i in range(50)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[3][1])], "doc_id long, text string").repartition(4)
+    coarse, _ = R.repeated_spans(docs, 40)
+    one, two = (sorted((x.did, x.th, x.runs) for x in R.repeated_spans(docs, 90, within=w)[0].collect()) for w in (None, coarse))
+    assert one == two and any(x[2] for x in one)
+
+
 def test_repeats_text(docs, none):
     out = R.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
