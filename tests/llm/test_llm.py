@@ -530,6 +530,64 @@ def test_machine_learns_pairs():
     assert p[0] < 0.2 and p[1] < 0.2 and p[2] > 0.8
 
 
+def log_loss(m, t, doc, y):
+    p = m.scores(t, doc, len(y))
+    return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+
+def test_machine_learns_pairs_of_neutral_words():
+    """Exactly one of two words: neither goes with the label, and a linear model knows nothing."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.integers(0, 2, (4000, 2)), (r.random((4000, 40)) < 0.2).astype(int)], 1)
+    y = (x[:, 0] ^ x[:, 1]).astype(float)
+    t = np.concatenate([np.flatnonzero(row).astype(np.uint32) + 10 for row in x])
+    doc = np.repeat(np.arange(4000), x.sum(1))
+    assert not {10, 11} & set(TX.marginal_terms(t, doc, y).tolist())
+    m, flat = TX.fit(t, doc, y), TX.fit(t, doc, y, rank=0)
+    assert {10, 11} <= set(m.terms.tolist()) and len(m.terms) < 12
+    p = m.scores(np.array([10, 11, 10, 11], np.uint32), np.array([0, 1, 2, 2]), 4)
+    assert p[0] > 0.6 and p[1] > 0.6 and p[2] < 0.3 and p[3] < 0.5
+    assert log_loss(m, t, doc, y) < log_loss(flat, t, doc, y) - 0.2
+
+
+def test_insult_with_group_mention():
+    """A group word common in clean texts is toxic only beside a mild word: rank 4 beats rank 0 on held-out rows."""
+    r = np.random.default_rng(8)
+    x = (r.random((9000, 60)) < 0.15).astype(int)
+    y = (x[:, 0] & x[:, 1] | (r.random(9000) < 0.01)).astype(float)
+    half = lambda a, b: (np.concatenate([np.flatnonzero(v).astype(np.uint32) + 10 for v in x[a:b]]), np.repeat(np.arange(b - a), x[a:b].sum(1)), y[a:b])
+    m, flat = TX.fit(*half(0, 6000)), TX.fit(*half(0, 6000), rank=0)
+    held = half(6000, 9000)
+    assert log_loss(m, *held) < log_loss(flat, *held)
+    got = m.scores(*held[:2], 3000)[(x[6000:, 0] & x[6000:, 1]) == 1]
+    assert (got >= 0.7).mean() > 0.9 > (flat.scores(*held[:2], 3000)[(x[6000:, 0] & x[6000:, 1]) == 1] >= 0.7).mean() or (got >= 0.7).mean() > 0.95
+
+
+def test_score_is_the_formula():
+    """Margins against the plain double sum over pairs."""
+    r = np.random.default_rng(5)
+    m = TX.FactorizationMachine(np.arange(6, dtype=np.uint32), 0.3, r.normal(size=6), r.normal(size=(6, 3)))
+    for k in ([], [2], [0, 3, 5], list(range(6))):
+        z = m.bias + sum(m.w[i] for i in k) + sum(m.v[i] @ m.v[j] for i in k for j in k if i < j)
+        got = m.scores(np.array([*k, 99], np.uint32), np.zeros(len(k) + 1, int), 1)[0]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_terms_are_cut_at_characters():
+    raw = "éééééé éééééabc".encode()
+    t, doc = TX.terms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    one, _ = TX.terms(np.frombuffer("éééééé".encode(), np.uint8), np.array([0, 12]))
+    assert len(np.intersect1d(t, one)) == 3 and len(one) == 3 and len(t) == 6
+
+
+def test_toxicity_held_out_recall(spark):
+    """Held-out labelled rows: measured 0.896; about a twelfth of the toxic rows hold no insult at all."""
+    sf = "/root/testdata/sf0.1"
+    got = TX.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = got.where("held_out").toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    assert got.predicted[got.toxic == 1].mean() >= 0.88 and got.predicted[got.toxic == 0].mean() <= 0.01
+
+
 def test_quality(labelled, docs, none):
     d, labels = labelled
     got = Q.quality(d, labels).toPandas().merge(labels.toPandas(), on="doc_id")
