@@ -7,8 +7,9 @@ token is read by a few array look-ups, without decoding a block.
 
 A file of the format holds some documents in ascending doc_id order:
 
-    magic "DAC1" | levels, documents, tokens (uint32) | doc_id (int64 each)
-    | start of each document, and the end (uint64) | then for each level:
+    magic "DAC2" | levels, documents, tokens (uint32) | doc_id (int64 each)
+    | a byte for each document: 1 if it has a doc_id | start of each document,
+    and the end (uint64) | then for each level:
     chunks, chunk bytes, bitmap bytes, directory entries (uint64 each)
     | chunk bytes | bitmap | ranks before each 512 bits (uint64)
 
@@ -48,11 +49,13 @@ class DirectCodes:
     """Encoder and reader of one file."""
 
     def __init__(self, blob: bytes):
-        assert blob[:4] == b"DAC1", "not a file of this format"
+        assert blob[:4] == b"DAC2", "not a file of this format"
         levels, docs, self.n_tokens = struct.unpack_from("<III", blob, 4)
         at = 16
         self.doc_ids = np.frombuffer(blob, "<i8", docs, at)
         at += 8 * docs
+        self.named = np.frombuffer(blob, np.uint8, docs, at) == 1
+        at += docs
         self.starts = np.frombuffer(blob, "<u8", docs + 1, at).astype(np.int64)
         at += 8 * (docs + 1)
         self.levels = []
@@ -66,8 +69,11 @@ class DirectCodes:
             self.levels.append((n, chunks, bits, ranks))
 
     @staticmethod
-    def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
+    def encode(ids: np.ndarray, doc_ids: list[int | None] | np.ndarray, starts: np.ndarray) -> bytes:
+        """``doc_ids`` may be null: such documents are found by their place alone."""
         ids = ids.astype(np.uint32)
+        named = np.array([x is not None for x in doc_ids], np.uint8)
+        doc_ids = np.array([0 if x is None else x for x in doc_ids], np.int64)
         parts, left = [], ids
         while True:
             more = left >> np.uint32(8)
@@ -82,8 +88,8 @@ class DirectCodes:
             if not go.any():
                 break
             left = more[go]
-        head = b"DAC1" + struct.pack("<III", len(parts), len(doc_ids), len(ids))
-        return head + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes() + b"".join(parts)
+        head = b"DAC2" + struct.pack("<III", len(parts), len(doc_ids), len(ids))
+        return head + doc_ids.astype("<i8").tobytes() + named.tobytes() + starts.astype("<u8").tobytes() + b"".join(parts)
 
     def _rank(self, level: int, p: int) -> int:
         """Continuations among the first p chunks of a level."""
@@ -140,8 +146,9 @@ class WordEncoder:
     it, and that end a run of letters at ASCII punctuation: a text's ids are then
     those of its words, parted at white space and between an ASCII letter and the
     punctuation after it.  Texts with "<|", where special tokens may stand, go
-    to the library whole.  New words of letters alone go to it many at a time,
-    as texts, if the vocabulary marks the ends of words.
+    to the library whole, and so do all texts if ``_parts_at_words`` finds a
+    tokenizer of another kind.  New words of letters alone go to it many at a
+    time, as texts, if the vocabulary marks the ends of words.
     """
 
     def __init__(self, path: str):
@@ -149,6 +156,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.by_word = self._parts_at_words(self.lib)
         suffix = getattr(self.lib.model, "end_of_word_suffix", None)
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -156,6 +164,25 @@ class WordEncoder:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self._reset()
 
+    @staticmethod
+    def _parts_at_words(lib) -> bool:
+        """Whether the library's normaliser and pre-tokenizer do what the word rule relies on.
+
+        They are asked about a text with each kind of boundary: its parts must be
+        those of its words by themselves, in lower case.
+        """
+        if lib.normalizer is None or lib.pre_tokenizer is None or lib.post_processor is not None and lib.post_processor.num_special_tokens_to_add(False):
+            return False
+
+        def parts(x: str) -> list[str]:
+            return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(x))]
+
+        words = ["Ab", "c", ".", "d1", "2,5", "É", "don't", "x-y", "!!", "\u0130Z", "e\u0301", "(q)", "ß.", "a_b"]
+        for space in (" ", "\n", "\t ", "\r\n", "\x0b", "\x0c"):
+            if parts(space + space.join(words) + space) != [p for w in words for p in parts(w)]:
+                return False
+        return parts("Ab") == ["ab"] and all(parts("a" + p + "b") == parts("a") + parts(p + "b") for p in map(chr, _PUNCT.nonzero()[0]))
+
     def _reset(self):
         self.number: dict[bytes, int] = {}
         self.first = np.zeros(1 << 16, np.int64)  # where each word's ids start; grows by doubling, as ids does
@@ -210,6 +237,8 @@ class WordEncoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
+        if not self.by_word:
+            return self._each([raw[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)])
         low = C.LOWER[raw]
         whole = [d for d in range(len(off) - 1) if b"<|" in raw[off[d] : off[d + 1]].tobytes()] if b"<|" in raw.tobytes() else []
         inside = C.SPACE_WORD[low]
@@ -258,7 +287,7 @@ def _writer(path: str, file_tokens: int, end: int):
         def file():
             n = np.concatenate(lens)
             starts = np.concatenate([[0], np.cumsum(n)])
-            blob = DirectCodes.encode(np.concatenate(ids), np.array(names, np.int64), starts)
+            blob = DirectCodes.encode(np.concatenate(ids), names, starts)
             return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([blob], pa.binary())], ["pid", "seq", "before", "n", "file"])
 
         for b in batches:
@@ -293,14 +322,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
 
     pid numbers ranges of ids, seq the files of a range, before its ids in earlier files.
 
-    Null text counts as empty (its only id is ``end``); rows of one id stand in
-    order of their text's hash; rows without an id are left out, as files are
-    addressed by id.  An empty table gives no files.
+    Null text counts as empty (its only id is ``end``); rows without an id come
+    first, and rows of one id, or of none, stand in order of their text's hash.  An
+    empty table gives no files.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     cuts = cut_points(docs, partitions(docs))
-    d = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), range_number(F.col("doc_id"), cuts).alias("pid"))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), range_number(F.col("doc_id"), cuts).alias("pid"))
     d = d.repartitionById(len(cuts) + 1, F.col("pid")).sortWithinPartitions("pid", "doc_id", "th").select("doc_id", "text", "pid")
     files = C.stream_map(d, _writer(tokenizer, file_tokens, end), "pid int, seq long, before long, n long, file binary")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))  # fewer slices: words repeat more within one
@@ -330,6 +359,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 f = DirectCodes(blob.as_buffer().to_pybytes())
                 n = np.diff(f.starts)
                 crc = [zlib.crc32(f.document(k).astype("<u4").tobytes()) for k in range(len(n))]
-                yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids), pa.array(f.starts[:-1] + first), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, mask=~f.named), pa.array(f.starts[:-1] + first), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return C.stream_map(at, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

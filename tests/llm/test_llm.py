@@ -377,7 +377,36 @@ def test_token_files(spark, docs, none, tokenizer):
         at += len(ids)
     assert got == want
     assert TK.read_token_files(TK.write_token_files(none, tokenizer)).count() == 0
-    assert TK.read_token_files(TK.write_token_files(docs, tokenizer)).count() == docs.where("doc_id is not null").count()
+
+
+def test_token_files_of_rows_without_ids(spark, docs, tokenizer):
+    """No row is left out: null ids come first; repeated rows and files of few tokens."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer)
+    more = spark.createDataFrame([(None, "other words"), (None, None), (-5, "below zero"), (0, "a0")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(more).repartition(5)
+    got = sorted(map(tuple, TK.read_token_files(TK.write_token_files(df, tokenizer, file_tokens=300)).collect()), key=lambda r: r[1])
+    ids = {t: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in {r.text for r in df.collect()}}
+    want = collections.Counter((r.doc_id, len(ids[r.text]), zlib.crc32(np.array(ids[r.text], "<u4").tobytes())) for r in df.collect())
+    assert collections.Counter((i, n, c) for i, _, n, c in got) == want
+    assert [s for _, s, _, _ in got] == np.cumsum([0, *(n for _, _, n, _ in got)])[:-1].tolist()
+    names = [i for i, *_ in got]
+    assert names[:3] == [None] * 3 and names[3:] == sorted(names[3:])
+
+
+def test_tokenizer_of_another_kind(spark, docs):
+    """A byte-level tokenizer joins spaces to words: whole texts go to the library."""
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    df = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert not TK.WordEncoder(path).by_word
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in TK.read_token_files(TK.write_token_files(df, path)).collect()}
+    for r in df.collect():
+        ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 1]
+        assert got[r.doc_id] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 @settings(max_examples=40, deadline=None)
@@ -437,6 +466,26 @@ def test_sharding_hot_group(spark):
     assert len(size) == 8 and size.max() / size.mean() < 1.02
 
 
+def test_sharding_by_plain_map(spark, docs, tmp_path):
+    """Shards against the stored map and a plain sum; equal texts together unless no shard can hold them."""
+    base = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, f"t{i % 400} " * 9) for i in range(3000)], "doc_id long, text string"))
+    store = str(tmp_path / "map")
+    got = SH.shard_documents(base, 4, 128, store=store).collect()
+    even, last = SH.SlotMap.load(spark, store, 1), SH.SlotMap.load(spark, store)
+    assert (even, last.version, last.shards) == (SH.even_map(128, 4), 2, 4)
+    load = [0] * 128
+    for g in got:
+        load[g.vslot] += g.size
+        assert g.shard == last.shard_of[g.vslot] and g.map_version == 2
+    assert last == SH.rebalance(even, load, 4)
+    of = collections.defaultdict(set)
+    for g in got:
+        of[g.text_crc32, g.size].add(g.shard)
+    assert all(len(x) == 1 for x in of.values())
+    total = [sum(g.size for g in got if g.shard == s) for s in range(4)]
+    assert max(total) - min(total) <= max(load)
+
+
 def test_rebalance_moves_little(spark, tmp_path):
     sizes = rng.integers(100, 200, 1024).tolist()
     a = SH.initial_map(sizes, 8)
