@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, neardup, packing, repeats, toxicity
-from graphloom.llm.common import cut, prepare, table
+from graphloom.llm.common import cut, drop, prepare, table
 from graphloom.plans.session import ship
 
 
@@ -28,9 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also start elsewhere."""
+    """Documents without repeated passages of fifty words or more.
+
+    Such a passage often has fewer than the 400 bytes of the operator's query, so
+    the stage has a span and a least number of words of its own.
+    """
     ship(spark)
-    return repeats.without_repeats(docs)
+    return repeats.without_repeats(docs, span=repeats.PASSAGE_SPAN, least_words=repeats.PASSAGE_WORDS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        now: list[str] = []
+        docs = cut(stage(spark, docs, sf_dir), now)
+        drop(spark, before)  # the next stage is written
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
