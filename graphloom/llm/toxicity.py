@@ -33,13 +33,15 @@ MAX_TRAIN = 12_000
 #: Least chi-square of a term with the label, and least number of its texts.
 LEAST_CHI2, LEAST_TEXTS = 16.0, 3
 #: Members of pairs are in this share of the sample; least test statistic of a pair, and the least share of the residual variance.
-PAIR_SHARE, LEAST_PAIR, LEAST_EXPLAINED = 0.03, 45.0, 0.02
+PAIR_SHARE, LEAST_PAIR, LEAST_EXPLAINED = 0.05, 45.0, 0.02
 RANK = 4
 THRESHOLD = 0.7
 #: Letters of the beginnings of longer words, and how often one must occur to count as repeated.
 STEMS, REPEATED = (4, 5), (2, 3)
 #: Share of a text's terms that a step of the fit sees; steps, and how many of them at the end see all.
 SEEN, STEPS, LAST = 0.5, 600, 60
+#: Terms that are looked up at a time; columns of pairs that are tested at a time.
+PART, COLUMNS = 1 << 18, 256
 
 
 def fold(raw: np.ndarray) -> np.ndarray:
@@ -74,6 +76,16 @@ def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(32)).astype(np.int64)
 
 
+def place(vocab: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each term in a sorted vocabulary (int32), and whether it is there; in slices, as the driver's memory is small."""
+    at, ok = np.zeros(len(t), np.int32), np.zeros(len(t), bool)
+    for s in range(0, len(t) if len(vocab) else 0, PART):
+        part = t[s : s + PART]
+        got = np.minimum(np.searchsorted(vocab, part), len(vocab) - 1)
+        at[s : s + PART], ok[s : s + PART] = got, vocab[got] == part
+    return at, ok
+
+
 @dataclass
 class FactorizationMachine:
     terms: np.ndarray  # sorted uint32
@@ -91,20 +103,29 @@ class FactorizationMachine:
         return z
 
     def lookup(self, t: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.terms, t), max(len(self.terms) - 1, 0))
-        ok = self.terms[at] == t if len(self.terms) else np.zeros(len(t), bool)
+        """Numbers and documents of the terms that have parameters."""
+        at, ok = place(self.terms, t)
         return at[ok], doc[ok]
 
     def scores(self, t: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(*self.lookup(t, doc), n), -30, 30)))
 
 
+def counts(vocab: np.ndarray, t: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts have each term, and the sum of y over them."""
+    df, of_y = np.zeros(len(vocab)), np.zeros(len(vocab))
+    for s in range(0, len(t), PART):
+        at = np.searchsorted(vocab, t[s : s + PART])
+        df += np.bincount(at, minlength=len(vocab))
+        of_y += np.bincount(at, y[doc[s : s + PART]], len(vocab))
+    return df, of_y
+
+
 def marginal_terms(t: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Terms whose presence goes with the label."""
     n, pos = len(y), y.sum()
-    vocab, i, df = np.unique(t, return_inverse=True, return_counts=True)
-    a = np.bincount(i, y[doc], len(vocab))  # present and positive
-    df = df.astype(float)
+    vocab = np.unique(t)
+    df, a = counts(vocab, t, doc, y)
     chi2 = n * (a * (n - df - pos + a) - (df - a) * (pos - a)) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1)
     return vocab[(chi2 >= LEAST_CHI2) & (df >= LEAST_TEXTS)]
 
@@ -120,41 +141,42 @@ def pair_terms(t: np.ndarray, doc: np.ndarray, left: np.ndarray) -> np.ndarray:
     """
     n = len(left)
     left = left - left.mean()
-    vocab, i, df = np.unique(t, return_inverse=True, return_counts=True)
-    common = np.flatnonzero((df >= max(8, PAIR_SHARE * n)) & (df <= n - 8))
-    m = len(common)
+    vocab = np.unique(t)
+    df, own = counts(vocab, t, doc, left)
+    _, own2 = counts(vocab, t, doc, left**2)
+    common = (df >= max(8, PAIR_SHARE * n)) & (df <= n - 8)
+    vocab, df, own, own2 = vocab[common], df[common], own[common], own2[common]
+    m = len(vocab)
     if not m:
-        return vocab[:0]
-    number = np.full(len(vocab), -1)
-    number[common] = np.arange(m)
-    k = number[i]
-    k, d = k[k >= 0], doc[k >= 0]
-    both, square, times = (np.zeros((m, m), np.float32) for _ in range(3))
-    for s in range(0, n, 1024):
-        a, b = np.searchsorted(d, [s, s + 1024])
-        x = np.zeros((min(1024, n - s), m), np.float32)
-        x[d[a:b] - s, k[a:b]] = 1
-        r = left[s : s + 1024, None].astype(np.float32)
-        both += x.T @ (x * r)
-        square += x.T @ (x * r * r)
-        times += x.T @ x
-    p = (df[common] / n).astype(np.float32)
-    p2, q, whole = p**2, 1 - 2 * p, np.float32((left**2).sum())
+        return vocab
+    k, ok = place(vocab, t)
+    k, d = k[ok], doc[ok]
+    p = df / n
+    p2, q, whole = p**2, 1 - 2 * p, (left**2).sum()
     keep = np.zeros(m, bool)
+    heads = np.searchsorted(d, np.arange(0, n + 1024, 1024))
 
     def squares(joint, alone, total, w):
         """Sum of weighted (x y)^2 from the weights of texts with both terms, with one, and of all."""
-        return q[w, None] * q * joint[w] + (q * alone)[w, None] * p2 + p2[w, None] * (q * alone) + p2[w, None] * p2 * total
-
-    for s in range(0, m, 512):
-        w = slice(s, s + 512)
-        own = np.diag(both)
-        told = (both[w] - p[w, None] * own - own[w, None] * p) ** 2
-        ok = told >= LEAST_PAIR * squares(square, np.diag(square), whole, w)
-        ok &= told >= LEAST_EXPLAINED * whole * squares(times, np.diag(times), np.float32(n), w)
-        ok[np.arange(len(ok)), np.arange(s, s + len(ok))] = False
-        keep[w] = ok.any(1)
-    return vocab[common[keep]]
+        return q[w, None] * q * joint + (q * alone)[w, None] * p2 + p2[w, None] * (q * alone) + p2[w, None] * p2 * total
+
+    for c in range(0, m, COLUMNS):
+        w = slice(c, c + COLUMNS)
+        both, square, times = (np.zeros((min(COLUMNS, m - c), m), np.float32) for _ in range(3))
+        for b, s in enumerate(range(0, n, 1024)):
+            x = np.zeros((min(1024, n - s), m), np.float32)
+            x[d[heads[b] : heads[b + 1]] - s, k[heads[b] : heads[b + 1]]] = 1
+            r = left[s : s + 1024].astype(np.float32)
+            xw = x[:, w].T
+            both += (xw * r) @ x
+            square += (xw * r * r) @ x
+            times += xw @ x
+        told = (both - p[w, None] * own - own[w, None] * p) ** 2
+        good = told >= LEAST_PAIR * squares(square, own2, whole, w)
+        good &= told >= LEAST_EXPLAINED * whole * squares(times, df, n, w)
+        good[np.arange(len(good)), np.arange(c, c + len(good))] = False
+        keep[w] = good.any(1)
+    return vocab[keep]
 
 
 def descend(own: np.ndarray, t: np.ndarray, doc: np.ndarray, y: np.ndarray, rank: int, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
@@ -226,14 +248,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, max_train / max(n, 1)) * (1 << 20)))
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(known), "doc_id")  # about max_train rows
     rows = C.arrow_map(text, _features, "doc_id long, y int, th long, terms binary").toArrow()
-    rows = rows.sort_by("doc_id")
     if len(rows):  # a text counts once, however often it is copied
-        key = np.stack([np.asarray(rows.column("th").combine_chunks()), np.asarray(rows.column("y").combine_chunks()).astype(np.int64)], 1)
-        rows = rows.take(pa.array(np.sort(np.unique(key, axis=0, return_index=True)[1])))
+        order = np.asarray(rows.column("doc_id").combine_chunks()).argsort(kind="stable")
+        key = np.stack([np.asarray(rows.column(c).combine_chunks()).astype(np.int64)[order] for c in ("th", "y")], 1)
+        rows = rows.take(pa.array(order[np.sort(np.unique(key, axis=0, return_index=True)[1])])).combine_chunks()
     y = np.asarray(rows.column("y").combine_chunks(), dtype=float) if len(rows) else np.zeros(0)
     flat, off = C.text_view(rows.column("terms")) if len(rows) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    t = flat.view(np.uint32)
-    return fit(t, np.repeat(np.arange(len(y)), np.diff(off) // 4), y)
+    out = fit(flat.view(np.uint32), np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off) // 4), y)
+    del rows, flat
+    C.trim()
+    return out
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
