@@ -423,7 +423,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, block: int = BLOCK, within
         long_ = within.select("did", F.col("th").alias("sth"), F.filter("runs", lambda x: x["stop"] - x["start"] >= span).alias("runs")).where("size(runs) > 0")
         d = d.join(long_, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("did")) & (F.col("th") == F.col("sth"))).drop("did", "sth")
         d = C.cut(d, gone)
-    a = C.cut(anchor_table(d, span).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), gone)
+    every: list[str] = []
+    a = C.cut(anchor_table(d, span).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), every)
+    met = a.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    a = C.cut(a.join(met, "h", "left_semi"), gone)  # a context alone with its anchor holds nothing repeated
+    C.drop(spark, every)
     ctx = C.cut(
         a.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "lo", "more", "rel")).alias("at")), gone
     )
