@@ -425,7 +425,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, block: int = BLOCK, within
         d = C.cut(d, gone)
     every: list[str] = []
     a = C.cut(anchor_table(d, span).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), every)
-    met = a.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written down, so that the join below reads nothing but tables and Spark can split a hot anchor
+    met = C.cut(a.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), every)
     a = C.cut(a.join(met, "h", "left_semi"), gone)  # a context alone with its anchor holds nothing repeated
     C.drop(spark, every)
     ctx = C.cut(
