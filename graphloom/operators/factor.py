@@ -265,7 +265,7 @@ def train(x: DataFrame, y: DataFrame, kind: str, c: Config, views: tuple[int, ..
         x = with_view_biases(x, views)
     model = model or Model(kind, c.rank, 0.0, initial(x, c.rank), tuple(views), c.classify)
     model = replace(model, params=cut(model.params))
-    state, bias_state = None, 0.0
+    state, bias_state, held = None, 0.0, []  # held: residuals that uncut steps still read
     whole = int(1 / c.fraction) <= 1
     for i in range(1, c.iterations + 1):
         xb, yb = (x, y) if whole else (x.where(sampled(c, i)), y.where(sampled(c, i)))
@@ -274,6 +274,7 @@ def train(x: DataFrame, y: DataFrame, kind: str, c: Config, views: tuple[int, ..
         if not n:
             res.unpersist()
             continue
+        held.append(res)
         g = backward(xb, res, model.params, kind, c.rank, n, model.views)
         gb = total / n
         if c.adagrad:
@@ -286,6 +287,8 @@ def train(x: DataFrame, y: DataFrame, kind: str, c: Config, views: tuple[int, ..
         if i % c.checkpoint_every == 0 or i == c.iterations:
             params = cut(params)
             state = cut(state) if state is not None else None
-            res.unpersist()
+            for r in held:
+                r.unpersist()
+            held.clear()
         model = replace(model, params=params, bias=bias)
     return model

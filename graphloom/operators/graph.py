@@ -209,8 +209,9 @@ class Graph:
         return self._around(direction).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", *rest))).alias("edges"))
 
     def pick_random_vertex(self, seed: int = 42) -> object:
-        """An id, uniformly: the least of a seeded hash, so only one row meets the driver."""
-        row = self.vertices.select(F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id")).alias("x")).first()
+        """The id whose key is least under a congruential step with a seed (ties: least id); only one row meets the driver."""
+        key = F.pmod(F.pmod(F.col("id").cast("long"), F.lit(2**31 - 1)) * 48271 + seed * 16807, F.lit(2**31 - 1))
+        row = self.vertices.select(F.min(F.struct(key.alias("key"), "id")).alias("x")).first()
         return None if row.x is None else row.x["id"]
 
     def partition_by(self, strategy: str, parts: int) -> Graph:

@@ -7,6 +7,7 @@ data's); tasks compute partial gradients over Arrow batches of rows
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,13 +146,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float)
 
 
+def batch_rng(seed: int, w: np.ndarray, x: np.ndarray) -> np.random.Generator:
+    """Other draws for each step and batch, and the same ones if a task is run again."""
+    return np.random.default_rng([seed, zlib.crc32(np.ascontiguousarray(w).tobytes()), zlib.crc32(np.ascontiguousarray(x).tobytes())])
+
+
 def train_network(rows: DataFrame, net: Network, updater, iterations: int, fraction: float = 1.0, seed: int = 9) -> tuple[Network, list[float]]:
     """Mini-batch gradient steps."""
     drops = any(net.dropout)
 
     def batch(w, df):
         x = _matrix(df["features"])
-        rng = np.random.default_rng([seed, len(df)]) if drops else None
+        rng = batch_rng(seed, w, x) if drops else None
         g, loss = net.with_flat(w).gradient(x, _matrix(df["target"]), rng)
         return g, loss, len(df)
 
@@ -233,7 +239,7 @@ class RBM:
 def train_rbm(rows: DataFrame, rbm: RBM, updater, iterations: int, k: int = 1, fraction: float = 1.0, dropout: float = 0.0, seed: int = 8, column: str = "features") -> tuple[RBM, list[float]]:
     def batch(w, df):
         v = _matrix(df[column])
-        rng = np.random.default_rng([seed, int(abs(v[0].sum()) * 1e6) % 2**31])
+        rng = batch_rng(seed, w, v)
         g, err = rbm.with_flat(w).gradient(v, rng, k, dropout)
         return g, err, len(df)
 

@@ -211,10 +211,13 @@ def g19_filter(spark, d):
     return graph(spark, d).filter(prepare, vertex=F.col("degree") > 30).vertices
 
 
-@query(f"WITH {V_SQL} SELECT count(*) AS n FROM v WHERE id = (SELECT min(id) FROM v WHERE id = id) GROUP BY ALL")
+@query(
+    f"WITH {V_SQL}, k AS (SELECT id, ((((id % 2147483647) + 2147483647) % 2147483647) * 48271 + 42 * 16807) % 2147483647 AS key FROM v) "
+    "SELECT id FROM k ORDER BY key, id LIMIT 1"
+)
 def g20_pick_random_vertex(spark, d):
     g = graph(spark, d)
-    return g.vertices.where(F.col("id") == F.lit(g.pick_random_vertex())).agg(F.count("*").alias("n"))
+    return g.vertices.where(F.col("id") == F.lit(g.pick_random_vertex())).select("id")
 
 
 @query("SELECT least(l_suppkey, l_partkey % 100) AS src, greatest(l_suppkey, l_partkey % 100) AS dst, sum(l_quantity) AS attr FROM lineitem WHERE l_suppkey <> l_partkey % 100 GROUP BY 1, 2")
@@ -400,11 +403,27 @@ def p10_vertex_builder(spark, d):
     return Graph.from_edges(edges(spark, d), 0).vertices.agg(F.count("*").alias("vertices"))
 
 
-@query(f"WITH {E_SQL} SELECT 'byterm' AS name, count(*) AS n FROM e UNION ALL SELECT 'bydoc', count(*) FROM e UNION ALL SELECT 'edge2d', count(*) FROM e UNION ALL SELECT 'dbh', count(*) FROM e UNION ALL SELECT 'bbr', count(*) FROM e")
+_DEALT_SQL = {
+    "byterm": f"SELECT ({_wrap_sql('src')} % 8)::INT AS pid FROM e",
+    "bydoc": f"SELECT ({_wrap_sql('dst')} % 8)::INT AS pid FROM e",
+    "edge2d": f"SELECT ((({_wrap_sql('src')} % 3) * 3 + ({_wrap_sql('dst')} % 3)) % 8)::INT AS pid FROM e",
+    "dbh": f"SELECT ({_wrap_sql('(CASE WHEN ds < dd THEN src ELSE dst END)')} % 8)::INT AS pid FROM x",
+    "bbr": "SELECT ((row_number() OVER (ORDER BY CASE WHEN ds >= dd THEN src ELSE dst END, src, dst, attr) - 1) // ceil((SELECT count(*) FROM x) / 8.0)::BIGINT)::INT AS pid FROM x",
+    # where an edge lies, or chance, decides: only that every edge is dealt
+    "direct": "SELECT -1 AS pid FROM e",
+    "vsdlp": "SELECT -1 AS pid FROM e",
+}
+
+
+@query(f"WITH {_DEG_SQL} " + " UNION ALL ".join(f"SELECT '{name}' AS name, pid, count(*) AS n FROM ({sql}) GROUP BY pid" for name, sql in _DEALT_SQL.items()))
 def p11_strategies(spark, d):
+    """Edges of each part, by the names of all seven strategies."""
     out = None
-    for name in ("byterm", "bydoc", "edge2d", "dbh", "bbr"):
-        n = P.partition_edges(name, edges(spark, d), 8).agg(F.lit(name).alias("name"), F.count("pid").alias("n"))
+    for name in _DEALT_SQL:
+        e = P.partition_edges(name, edges(spark, d), 8)
+        if name in ("direct", "vsdlp"):
+            e = e.where("pid between 0 and 7").withColumn("pid", F.lit(-1))
+        n = e.groupBy(F.col("pid").cast("int").alias("pid")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "pid", "n")
         out = n if out is None else out.unionByName(n)
     return out
 

@@ -400,3 +400,18 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["rank", "--samples", str(tmp_path / "s"), "--features", str(tmp_path / "x"), "--output", str(tmp_path / "trees"), "--trees", "1", "--leaves", "3", "--gains", "0:1:3"])
     out = capsys.readouterr().out
     assert "total" in out and "auc" in out and "rmse" in out and "error" in out
+
+
+def test_dropout_drops_other_units_in_each_step(spark):
+    """Over several steps on one batch every hidden unit learns; a network thinned once would leave some as they were."""
+    from graphloom.operators import neural as NN
+    from graphloom.operators import optim as O
+
+    r = np.random.default_rng(6)
+    rows = [(r.normal(size=8).tolist(), np.eye(3)[i % 3].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "features array<double>, target array<double>").coalesce(1)
+    net = NN.Network.create([8, 12, 3], ["sigmoid", "softmax"], dropout=[0.5, 0.0])
+    one, _ = NN.train_network(df, net, O.AdaGrad(rate=0.05), 1)
+    many, _ = NN.train_network(df, net, O.AdaGrad(rate=0.05), 10)
+    moved = [np.abs(x.layers[0].weight - net.layers[0].weight).max(1) > 0 for x in (one, many)]
+    assert moved[0].any() and moved[1].all()
