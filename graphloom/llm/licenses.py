@@ -130,7 +130,7 @@ def license_spans(votes: DataFrame) -> DataFrame:
     exact = diag.where("base and size(hit) = grams").select(
         "rid", "doc_id", "template", "label", "base", F.col("diag").alias("first"), (F.col("diag") + F.col("words") - 1).alias("last"), F.lit(1.0).alias("share")
     )
-    # a diagonal with too few votes to matter even together with its neighbours is noise
+    # diagonals that lie close together vote as one
     w = Window.partitionBy("rid", "template").orderBy("diag")
     step = F.col("diag") - F.lag("diag").over(w) > NEIGHBOUR
     merged = (
