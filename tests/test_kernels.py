@@ -415,3 +415,33 @@ def test_dropout_drops_other_units_in_each_step(spark):
     many, _ = NN.train_network(df, net, O.AdaGrad(rate=0.05), 10)
     moved = [np.abs(x.layers[0].weight - net.layers[0].weight).max(1) > 0 for x in (one, many)]
     assert moved[0].any() and moved[1].all()
+
+
+def test_inference_against_a_plain_sampler(spark):
+    """Shares of every document equal those of a sampler in lists and dictionaries that draws the same numbers."""
+    import zlib
+
+    bags = [(1, "apple", 3), (1, "pear", 2), (2, "rust", 4), (3, "apple", 1), (3, "unknown", 2), (21, "rust", 1)]
+    model = [("apple", 0, 9), ("pear", 0, 4), ("rust", 1, 7), ("pear", 1, 1)]
+    c = T.Config(topics=3)
+    got = {(x.doc, x.topic): x.p for x in T.infer(spark.createDataFrame(bags, "doc long, term string, cnt long"), spark.createDataFrame(model, "term string, topic int, nw long"), c).collect()}
+
+    nk = [sum(n for _, t, n in model if t == k) for k in range(3)]
+    nw = {(w, t): n for w, t, n in model}
+    vocabulary, want = 3, {}
+    prior = [(n + c.alpha_as) * (c.alpha * 3 / (sum(nk) + c.alpha_as * 3)) for n in nk]
+    for doc in (1, 2, 3, 21):
+        words = [w for d, w, n in sorted(bags) if d == doc for _ in range(n)]
+        rng = np.random.default_rng([c.seed, zlib.crc32(str(doc).encode())])
+        z = [int(x) for x in rng.integers(3, size=len(words))]
+        for s in range(10):
+            for i, w in enumerate(words):
+                z[i] = -1
+                p = [(nw.get((w, k), 0) + c.beta) / (nk[k] + c.beta * vocabulary) * (z.count(k) + prior[k]) for k in range(3)]
+                u = rng.random() * (p[0] + p[1] + p[2])
+                z[i] = 0 if u < p[0] else 1 if u < p[0] + p[1] else 2
+            for k in range(3):
+                if s >= 5 and z.count(k):
+                    want[doc, k] = want.get((doc, k), 0) + z.count(k) / len(words) / 5
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)

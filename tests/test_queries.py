@@ -71,9 +71,9 @@ def test_without_training_data_operators(tmp_path):
 
 
 def test_inference_of_every_document(spark, duck):
-    """l17_inference_all leaves no document with words out, and shares add up to one."""
+    """l17_inference leaves no document with words out, and shares add up to one."""
     got = {}
-    for x in entry.queries()["l17_inference_all"](spark, SF).collect():
+    for x in entry.queries()["l17_inference"](spark, SF).collect():
         got[x.doc] = got.get(x.doc, 0) + x.p
     want = duck.sql("select doc_id from documents where regexp_matches(lower(text), '[a-z]')").fetchall()
     assert set(got) == {i for (i,) in want} and max(got) >= 20
