@@ -379,6 +379,44 @@ def test_incremental_training(spark, samples, tmp_path):
     assert f.model.params.count() == 12
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_features_do_not_meet_in_one_task(spark, samples, monkeypatch):
+    """A feature that all samples have goes to the cells by broadcast; the others are dealt; the sums are the same."""
+    from graphloom.operators import cells
+
+    monkeypatch.setattr(cells, "HOT", 1)
+    x, y = samples
+    x = x.where("feature <> 3").unionByName(x.select("sample", F.lit(3).cast("long").alias("feature"), F.lit(0.5).alias("value")).distinct())
+    assert cells.frequent(x) == [3]
+    w = spark.createDataFrame([(k, 0.1 * k) for k in range(11)], "feature long, w double")
+    want = {}
+    for r in x.collect():
+        want[r.sample] = want.get(r.sample, 0.0) + (0.1 * r.feature * r.value if r.feature < 11 else 0.0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        z = LR.margins(x, y, w)
+        f = FM.score(x, FM.Model("fm", 3, 0.0, FM.initial(x, 3)))
+        assert all("BroadcastHashJoin [feature" in plan(df) and "SortMergeJoin [feature" in plan(df) for df in (z, f))
+        assert all(abs(r.z - want.get(r.sample, 0.0)) < 1e-12 for r in z.collect())
+        one = [r.score for r in f.orderBy("sample").collect()]
+        two = [r.score for r in FM.score(x, FM.Model("fm", 3, 0.0, FM.initial(x, 3)), []).orderBy("sample").collect()]
+        assert np.allclose(one, two, atol=1e-12) and len(one) == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_training_leaves_no_plan_behind(samples):
+    """Weights are read from a table after each step, not from the plans of the steps before."""
+    x, y = samples
+    w = LR.train(x, y, LR.Config(iterations=3, step=0.5, adagrad=True))
+    m = FM.train(x, y, "fm", FM.Config(rank=2, iterations=3, adagrad=True))
+    assert all("FileScan parquet" in plan(df) and "Join" not in plan(df) and "Checkpoint" not in plan(df) for df in (w, m.params))
+
+
 # ------------------------------------------------------------ command line
 
 
