@@ -483,3 +483,47 @@ def test_inference_against_a_plain_sampler(spark):
                     want[doc, k] = want.get((doc, k), 0) + z.count(k) / len(words) / 5
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_lanes_sample_each_token_once_and_each_document_once_a_step():
+    r = np.random.default_rng(3)
+    doc = np.sort(r.integers(0, 9, 200))
+    b = T.Block(doc, r.integers(0, 5, 200), np.zeros(200, int), None, None, np.zeros(4), None, 0.0, 0.0, np.random.default_rng(1))
+    steps = list(b.lanes(b.doc, b.term))
+    assert sorted(np.concatenate(steps)) == list(range(200)) and len(steps) == np.bincount(doc).max()
+    assert all(len(set(doc[i])) == len(i) for i in steps)
+
+
+def test_blocks_grow_in_number_and_sweeps_leave_one_table(spark, monkeypatch):
+    """Blocks hold BLOCK tokens on the average, also with many tokens; only the last sweep's table stays."""
+    from pathlib import Path
+
+    seen = []
+    blocks = T._blocks
+    monkeypatch.setattr(T, "BLOCK", 100)
+    monkeypatch.setattr(T, "_blocks", lambda rows, counts, n: (seen.append(n), blocks(rows, counts, n))[1])
+    tokens = T.tokens_from_bags(ring_corpus(spark))
+    out = T.train(tokens, T.Config(topics=4, blocks=2, algorithm="ftree"), 3)
+    assert seen == [18, 18, 18] and out.count() == 1800
+    folder = Path(out.inputFiles()[0].removeprefix("file:")).parent.parent
+    before = len(list(folder.glob("table-*")))
+    T.train(tokens, T.Config(topics=4, blocks=2), 3)
+    assert len(list(folder.glob("table-*"))) == before + 1
+
+
+def test_incremental_query_takes_all_warm_up_sweeps(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    took = []
+    monkeypatch.setattr(T, "train", lambda tokens, c, iterations, model: took.append(iterations) or tokens)
+    entry.queries()["l02_incremental_train"](spark, "/root/testdata/sf0.001")
+    assert took == [16]
+
+
+def test_documents_inferred_together(spark, monkeypatch):
+    """Parts of a block that are sampled together don't change a document's shares."""
+    c, bags = T.Config(topics=4, blocks=1), ring_corpus(spark)
+    model = T.term_counts(T.initialise(T.tokens_from_bags(bags), c))
+    want = sorted(map(tuple, T.infer(bags, model, c).collect()))
+    monkeypatch.setattr(T, "INFER", 70)
+    assert sorted(map(tuple, T.infer(bags, model, T.Config(topics=4, blocks=7)).collect())) == want
